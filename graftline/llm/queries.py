@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, simhash
+from . import bpe, mixing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,16 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern)
+    return bpe.digests(bpe.decode(encoded, ranks, pattern)).withColumnRenamed("doc", "doc_id")
+
+
 QUERIES = {
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op9_quality_rules": op9_quality_rules,
