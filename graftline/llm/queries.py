@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash
+from . import bpe, mixing, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,29 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, ranks, pattern)).withColumnRenamed("doc", "doc_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op4_warc": op4_warc,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # Five hex digits of the digest are four base32 letters.
+    "op4_warc": """
+        with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+        d as (select page_id, octet_length(payload) as n, sha1(payload) as h, min(page_id) over (partition by sha1(payload), octet_length(payload)) as first from p)
+        select page_id, n::bigint as payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int, 1)), 'string_agg', '') as payload_digest,
+               case when page_id > first then 'revisit' else 'response' end as record_type,
+               case when page_id > first then first end as refers_to
+        from d
+    """,
+}
