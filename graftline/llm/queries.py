@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, warc
+from . import bpe, mixing, quality, simhash, urls, warc
+from .common import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +39,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_folder(spark, "unused")  # sets the checkpoint folder
+    pages = _table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.train(urls.labelled_by_rules(pages)))
+
+
 QUERIES = {
+    "op5_url_filter": op5_url_filter,
     "op4_warc": op4_warc,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_simhash_dedup": op8_simhash_dedup,
