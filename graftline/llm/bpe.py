@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Remembered, slices
+
 #: Words that a worker remembers, new words to a query, bytes of text and ids to a slice.
 WORDS, NEW_WORDS, SLICE_BYTES, SLICE_IDS = 800_000, 20_000, 2_000_000, 400_000
 
@@ -73,8 +75,7 @@ class Coder:
         left, right, merged = (pa.array(x, pa.int64()) for x in zip(*splits, strict=True))
         self._table("merges", pa.table({"l": left, "r": right, "merged": merged}))
         self._table("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks]}))
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = Remembered(self.learn, WORDS)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Coder:
@@ -87,17 +88,12 @@ class Coder:
         self.db.execute(f"create or replace table {name} as select * from incoming")
         self.db.unregister("incoming")
 
-    def learn(self, new: list[str]) -> None:
-        """Encode words and remember their ids, 4 little-endian bytes each."""
-        rest = []
-        for w in new:
-            rank = self.ranks.get(w.encode())
-            if rank is None:
-                rest.append(w)
-            else:
-                self.known[w] = rank.to_bytes(4, "little")
+    def learn(self, new: list[str]) -> list[bytes]:
+        """The ids of words, 4 little-endian bytes each."""
+        out = [rank.to_bytes(4, "little") if (rank := self.ranks.get(w.encode())) is not None else b"" for w in new]
+        rest = [k for k, ids in enumerate(out) if not ids]
         for k in range(0, len(rest), NEW_WORDS):
-            part = [w.encode() for w in rest[k : k + NEW_WORDS]]
+            part = [new[i].encode() for i in rest[k : k + NEW_WORDS]]
             sizes = np.array([len(w) for w in part])
             octets = np.frombuffer(b"".join(part), dtype=np.uint8)
             ends = np.cumsum(sizes)
@@ -108,16 +104,13 @@ class Coder:
             ids = found.column("ids").combine_chunks()
             flat, offsets = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
             for word, lo, hi in zip(found.column("word").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                self.known[rest[k + word]] = flat[lo:hi].tobytes()
+                out[rest[k + word]] = flat[lo:hi].tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pattern.findall(t) for t in texts]
-        if len(self.known) > WORDS // 2:  # words not met again for a while are forgotten
-            self.known, self.older = {}, self.known
-        new = {w for ws in split for w in ws if w not in self.known}
-        self.known.update((w, self.older[w]) for w in new if w in self.older)
-        self.learn(sorted(w for w in new if w not in self.known))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        known = self.words.want({w for ws in split for w in ws})
+        return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
     def decode(self, ids: pa.ListArray) -> list[bytes]:
         """The bytes of each list of ids; lists of any length are cut into pieces."""
@@ -147,18 +140,6 @@ class Coder:
         return out
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about SLICE_BYTES of text each, one row at least."""
-    import pyarrow.compute as pc
-
-    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
-    lo = 0
-    while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
-        yield lo, hi
-        lo = hi
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, ids)``: the ids of each text, an array of integers."""
     rows = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
@@ -167,7 +148,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(ranks_path, pattern)
         for batch in batches:
-            for lo, hi in _slices(batch.column(1)):
+            for lo, hi in slices(batch.column(1), SLICE_BYTES):
                 found = coder.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<u4").astype(np.int32)))

@@ -70,6 +70,42 @@ def remove_folder(path: str) -> None:
     system.delete_dir(inner)
 
 
+def slices(column, size: int):
+    """Ranges of rows of an Arrow column with about ``size`` bytes each, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        yield lo, hi
+        lo = hi
+
+
+class Remembered:
+    """What ``learn`` found for the keys met so far, in a bounded dictionary.
+
+    ``learn`` takes a list of new keys and returns their values. Of keys, about
+    the last ``most`` that were wanted are kept.
+    """
+
+    def __init__(self, learn, most: int):
+        self.learn, self.most = learn, most
+        self.known: dict = {}
+        self.older: dict = {}
+
+    def want(self, keys: set) -> dict:
+        """A dictionary that holds all of ``keys``; it is good until the next call."""
+        if len(self.known) > self.most // 2:  # keys not met again for a while are forgotten
+            self.known, self.older = {}, self.known
+        new = keys - self.known.keys()
+        self.known.update((k, self.older[k]) for k in new if k in self.older)
+        if rest := sorted(new - self.known.keys()):
+            self.known.update(zip(rest, self.learn(rest), strict=True))
+        return self.known
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """The smallest node reachable from each node: ``(node, component)``.
 

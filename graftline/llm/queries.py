@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, urls, warc
+from . import bpe, lengths, mixing, quality, simhash, urls, warc
 from .common import shared_folder
 
 
@@ -45,7 +45,15 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.train(urls.labelled_by_rules(pages)))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return lengths.suffix_sums(lengths.histogram(lengths.encoded_lengths(_table(spark, sf_dir, "documents"), ranks, pattern)))
+
+
 QUERIES = {
+    "op10_token_counts": op10_token_counts,
     "op5_url_filter": op5_url_filter,
     "op4_warc": op4_warc,
     "op7_byte_bpe": op7_byte_bpe,
