@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lengths, mixing, quality, simhash, urls, warc
+from . import bpe, lengths, mixing, quality, simhash, token_files, urls, warc
 from .common import shared_folder
 
 
@@ -52,7 +52,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(lengths.encoded_lengths(_table(spark, sf_dir, "documents"), ranks, pattern)))
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = token_files.write(_table(spark, sf_dir, "documents"), shared_folder(spark, "ids"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read(files).select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
+    "op1_token_files": op1_token_files,
     "op10_token_counts": op10_token_counts,
     "op5_url_filter": op5_url_filter,
     "op4_warc": op4_warc,
