@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lengths, mixing, quality, simhash, token_files, urls, warc
+from . import ann, bpe, lengths, mixing, quality, simhash, token_files, urls, warc
 from .common import shared_folder
 
 
@@ -59,7 +59,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(files).select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.9)
+    return found.rows.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 QUERIES = {
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op1_token_files": op1_token_files,
     "op10_token_counts": op10_token_counts,
     "op5_url_filter": op5_url_filter,
