@@ -39,7 +39,8 @@ class Graph:
     """``shard_rows``: vectors to a centroid; ``max_centroids`` and ``sample_rows``
     bound what the driver fits; ``block_rows``: vectors of a shard in one task;
     ``near`` and ``degree``: candidates and kept links of a vector; ``beam``:
-    vectors that a search expands at least; ``slack``: how far beyond the range
+    vectors that a search expands at least; ``entries``: rows it may start from
+    besides the medoid; ``slack``: how far beyond the range
     it expands; ``audit_rows``: vectors held against brute force."""
 
     overlap: int = 4
@@ -51,6 +52,7 @@ class Graph:
     degree: int = 24
     alpha: float = 1.2
     beam: int = 12
+    entries: int = 64
     slack: float = 0.15
     audit_rows: int = 256
     target_recall: float = 0.99
@@ -117,8 +119,10 @@ def range_search(queries: np.ndarray, x: np.ndarray, links: list[np.ndarray], me
     flat = np.concatenate(links) if n else np.empty(0, dtype=np.int64)
     sims = np.full((q, n), -2.0, dtype=np.float64)
     open_ = np.zeros((q, n), dtype=bool)  # met, not yet expanded
-    sims[:, medoid] = queries @ x[medoid]
-    open_[:, medoid] = True
+    # The medoid of all, and rows spread over the block for the parts that it is far from.
+    for entry in {medoid, *range(0, n, max(1, n // graph.entries))}:
+        sims[:, entry] = queries @ x[entry]
+        open_[:, entry] = True
     if own is not None:
         sims[np.arange(q), own] = 1.0
         open_[np.arange(q), own] = True
