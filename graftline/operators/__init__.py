@@ -1 +1 @@
-
+"""Operators over DataFrames that hold JSON text."""

@@ -1 +1 @@
-
+"""Reading documents from files, and writing them."""

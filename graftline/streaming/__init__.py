@@ -1 +1 @@
-
+"""The operators on streams."""
