@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lengths, mixing, quality, simhash, token_files, urls, warc
+from . import ann, bpe, katz, lengths, mixing, quality, simhash, token_files, urls, warc
 from .common import shared_folder
 
 
@@ -64,7 +64,12 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.rows.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.train(_table(spark, sf_dir, "documents")).scores().withColumnRenamed("doc", "doc_id")
+
+
 QUERIES = {
+    "op6_katz_scores": op6_katz_scores,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op1_token_files": op1_token_files,
     "op10_token_counts": op10_token_counts,
