@@ -158,6 +158,7 @@ def printed(col, pretty: bool = False, on_error: str = "fail") -> Column:
 
 def is_valid(col) -> Column:
     """Whether a text parses; null for null."""
+    col = F.col(col) if isinstance(col, str) else col
     return F.when(col.isNotNull(), _mapped(lambda v: True, "boolean", "null")(col).isNotNull())
 
 
@@ -185,7 +186,7 @@ def compare(a, b, case_sensitive: bool = True) -> Column:
     return F.arrow_udf(lambda x, y: pa.array([same(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_()), "boolean")(a, b)
 
 
-def minify(col: Column) -> Column:
+def minify(col) -> Column:
     """White space and comments outside strings removed, nothing checked.
 
     A column expression: strings are kept by being matched first.
