@@ -37,7 +37,7 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
 
 def schema_rows(df: DataFrame, json_col: str, order_by: str, on_error: str = "fail") -> DataFrame:
     """``(ord, path, kind, nullable, required, names)`` of each document's schema."""
-    return df.select(df[order_by].alias("ord"), F.inline(columns.schema_nodes(df[json_col], on_error)))
+    return df.select(df[order_by].cast("long").alias("ord"), F.inline(columns.schema_nodes(df[json_col], on_error)))
 
 
 def _joined(kinds: list[str]) -> str:
@@ -48,8 +48,8 @@ def _joined(kinds: list[str]) -> str:
 
 
 def merge(df: DataFrame, json_col: str, order_by: str, on_error: str = "fail") -> values.Node | None:
-    """The merged schema of ``df`` in the order of ``order_by``, whose values are
-    unique; None for no documents. Rows whose text is null are left out."""
+    """The merged schema of ``df`` in the order of ``order_by``, whole numbers
+    that are unique; None for no documents. Rows whose text is null are left out."""
     rows = _kept(schema_rows(df.where(df[json_col].isNotNull()), json_col, order_by, on_error), "schema")
     spark = df.sparkSession
     top = rows.where("path = ''").agg(F.min("ord"), F.count("*"), F.collect_set("kind"), F.bool_or("nullable")).first()
