@@ -83,6 +83,18 @@ def slices(column, size: int):
         lo = hi
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system, where libc can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 class Remembered:
     """What ``learn`` found for the keys met so far, in a bounded dictionary.
 
@@ -99,9 +111,9 @@ class Remembered:
         """A dictionary that holds all of ``keys``; it is good until the next call."""
         if len(self.known) > self.most // 2:  # keys not met again for a while are forgotten
             self.known, self.older = {}, self.known
-        new = keys - self.known.keys()
+        new = [k for k in keys if k not in self.known]  # a difference of sets would go through all known keys
         self.known.update((k, self.older[k]) for k in new if k in self.older)
-        if rest := sorted(new - self.known.keys()):
+        if rest := sorted(k for k in new if k not in self.known):
             self.known.update(zip(rest, self.learn(rest), strict=True))
         return self.known
 

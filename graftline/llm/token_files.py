@@ -21,7 +21,6 @@ the same name.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,18 +34,22 @@ from .common import Remembered, file_system, slices, stored
 
 MAGIC, HEADER = b"GLHUF001", "<8s7Q"
 BLOCK, SLICE = 1024, 1024 * 1024
-#: White space other than a single blank or newline between other characters.
-ODD_SPACE = re.compile(r"[^\S \n]|\s\s")
-UNITS = 800_000
+#: White space other than a single blank or newline between other characters; the
+#: control characters and the spaces are those of Unicode.
+ODD_SPACE = r"[\t\r\x0B\x0C\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$|^$"
+UNITS = 1_800_000
+#: Marks that are a token of their own after a letter.
+MARKS = ".,;:!?"
 
 
 class Encoder:
     """A tokenizer and the ids of the units met so far.
 
     The tokenizer's own pattern never joins characters across a single blank or
-    newline, except a blank to what follows it; so a text without other white
-    space is encoded unit by unit, and every different unit once. Other texts are
-    encoded whole.
+    newline, except a blank to what follows it. So texts without other white
+    space are cut into units at those, Arrow finds the different ones, and each
+    is encoded once; a unit's newline stays with it, its blank is left out. Other
+    texts are encoded whole.
     """
 
     made: dict[str, Encoder] = {}
@@ -57,6 +60,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.newline = self._ids("\n")
+        self.marks = {m: self._ids(m) for m in MARKS}
         self.units = Remembered(self.learn, UNITS)
 
     @classmethod
@@ -69,27 +73,65 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, units: list[str]) -> list[bytes]:
-        """Ids of units, found in texts of a unit a line."""
+        """Ids of units; of those that differ in a last mark only, one is encoded."""
+        known = self.units.known
+        stems = [u[:-1] if u[-1] in self.marks and u[-2:-1].isalpha() else u for u in units]
+        new = sorted({s for s in stems if s not in known})
+        found = self._lines([s[1:] if s[0] == "\n" else " " + s for s in new])
+        ids = {s: self.newline + x if s[0] == "\n" else x for s, x in zip(new, found, strict=True)}
+        return [known.get(s) or ids[s] if len(s) == len(u) else (known.get(s) or ids[s]) + self.marks[u[-1]] for s, u in zip(stems, units, strict=True)]
+
+    def _lines(self, units: list[str]) -> list[bytes]:
+        """Ids of units, from texts of a unit a line."""
         out: list[bytes] = []
         (line,) = np.frombuffer(self.newline, dtype="<u4").tolist()
         for k in range(0, len(units), 2000):
             (found,) = self.tokenizer.encode_batch_fast(["\n".join(units[k : k + 2000])], add_special_tokens=False)
             ids = np.array(found.ids, dtype="<u4")
-            out += [x.tobytes() for x in np.split(ids, np.flatnonzero(ids == line))]
-        for k in range(len(out)):
-            if k % 2000:
-                out[k] = out[k][4:]
+            data, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == line)).tolist()
+            out += [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not ODD_SPACE.search(t) for t in texts]
-        split = [[[" " + f if k else f for k, f in enumerate(line.split(" ")) if k or f] for line in t.split("\n")] if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        known = self.units.want({u for lines in split for line in lines for u in line})
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, ok in zip(texts, plain, strict=True) if not ok], add_special_tokens=False))
-        return [
-            self.newline.join(b"".join(map(known.__getitem__, line)) for line in lines) if ok else np.array(next(whole).ids, dtype="<u4").tobytes()
-            for lines, ok in zip(split, plain, strict=True)
-        ]
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, the end id after each, and how many each has."""
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
+        ids, sizes = self._by_units(texts.filter(pa.array(~odd)), end_id)
+        if not odd.any():
+            return ids, sizes
+        whole = [np.array([*x.ids, end_id], dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+        parts: list = [None] * len(texts)
+        for k, x in zip(np.flatnonzero(odd).tolist(), whole, strict=True):
+            parts[k] = x
+        for k, x in zip(np.flatnonzero(~odd).tolist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=False):
+            parts[k] = x
+        return np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
+
+    def _by_units(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64)
+        marked = pc.binary_join_element_wise("", pc.replace_substring(texts, "\n", " \n"), "\n")
+        units = pc.split_pattern(marked, " ")
+        coded = units.flatten().dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        known = self.units.want(set(different))
+        found = [known[u] for u in different]
+        data = np.frombuffer(b"".join(found), dtype="<u4")
+        length = np.array([len(x) // 4 for x in found], dtype=np.int64)
+        start = np.cumsum(length) - length
+        which = coded.indices.to_numpy()
+        n = length[which]
+        upto = np.cumsum(n)
+        ids = data[np.repeat(start[which] - (upto - n), n) + np.arange(int(upto[-1]))]
+        # Every text starts with a newline of ours; the end of the text before takes its place.
+        first = units.offsets.to_numpy()[:-1] - units.offsets[0].as_py()
+        at = (upto - n)[first]
+        ids[at] = end_id
+        return np.append(ids[1:], np.uint32(end_id)).astype("<u4"), np.diff(np.append(at, len(ids)))
 
 
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
@@ -170,7 +212,7 @@ def _write_raw(folder: str, tokenizer_path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = Encoder.of(tokenizer_path), end_id.to_bytes(4, "little")
+        encoder = Encoder.of(tokenizer_path)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         system, inner = file_system(folder)
         system.create_dir(inner, recursive=True)
@@ -181,15 +223,14 @@ def _write_raw(folder: str, tokenizer_path: str, end_id: int):
                 if out is None:
                     sink = system.open_output_stream(f"{inner}/_raw-{part:05d}-{attempt}", compression=None)
                     out = pa.CompressedOutputStream(sink, "zstd")
-                found = encoder.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
-                data = end.join(found) + end
-                out.write(data)
-                some = np.bincount(np.frombuffer(data, dtype="<u4"))
+                ids, size = encoder.encode(batch.column(1).slice(lo, hi - lo), end_id)
+                out.write(ids.tobytes())
+                some = np.bincount(ids)
                 if len(some) > len(counts):
                     counts = np.concatenate([counts, np.zeros(len(some) - len(counts), dtype=np.int64)])
                 counts[: len(some)] += some
                 docs += batch.column(0).slice(lo, hi - lo).to_pylist()
-                sizes += [len(x) // 4 + 1 for x in found]
+                sizes += size.tolist()
         if out is None:
             return
         out.close()
@@ -246,17 +287,44 @@ def _write_coded(folder: str, lengths: np.ndarray):
     return run
 
 
+def _summed(raw: DataFrame, end_id: int) -> np.ndarray:
+    """How often each id occurs in all raw files. Tasks add up what their rows
+    hold, in spans of ids; the driver gets one number for each id of the vocabulary."""
+    span = 4096
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            symbols, counts = (c.flatten().to_numpy() for c in batch.columns)
+            some = np.bincount(symbols, minlength=len(total)).astype(np.int64) * 0
+            np.add.at(some, symbols, counts)
+            some[: len(total)] += total
+            total = some
+        for k in range(0, len(total), span):
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[k : k + span]], pa.list_(pa.int64()))], names=["first", "counts"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows = [r.values.to_numpy() for r in table.column("counts")]
+        total = np.zeros(max(map(len, rows)), dtype=np.int64)
+        for r in rows:
+            total[: len(r)] += r
+        return pa.table({"first": [table.column("first")[0].as_py()], "counts": pa.array([total], pa.list_(pa.int64()))})
+
+    kind = "first long, counts array<long>"
+    rows = raw.select("symbols", "counts").mapInArrow(add, kind).groupBy("first").applyInArrow(merge, kind).collect()
+    out = np.zeros(max([end_id + 1, *[r[0] + len(r[1]) for r in rows]]), dtype=np.int64)
+    for first, counts in rows:
+        out[first : first + len(counts)] += np.array(counts)
+    return out
+
+
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, max_bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode ``docs`` and write their ids below ``folder``; returns the files:
     ``(part, path, n_docs, n_ids, bytes, first_id)``, ``first_id`` being the
     number of ids in the files before."""
     rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text")).repartitionByRange("doc").sortWithinPartitions("doc", "text")
     raw = stored(rows.mapInArrow(_write_raw(folder, tokenizer_path, end_id), "part long, path string, docs array<long>, sizes array<long>, symbols array<long>, counts array<long>"), "raw-files")
-    # One row for each different id, as many as the vocabulary has.
-    counted = raw.select(F.explode(F.arrays_zip("symbols", "counts")).alias("x")).groupBy("x.symbols").agg(F.sum("x.counts").alias("n")).collect()
-    counts = np.zeros(max([end_id, *[r[0] for r in counted]]) + 1, dtype=np.int64)
-    for symbol, n in counted:
-        counts[symbol] = n
+    counts = _summed(raw, end_id)
     lengths = code_lengths(counts, max(max_bits, int(np.count_nonzero(counts) - 1).bit_length()))
     parts = raw.select("part", "path", "docs", "sizes")
     files = parts.repartition(max(1, parts.count()), "part").mapInArrow(_write_coded(folder, lengths), "part long, path string, n_docs long, n_ids long, bytes long")
