@@ -60,14 +60,13 @@ def merge(df: DataFrame, json_col: str, order_by: str, on_error: str = "fail") -
     scopes = {"": _Scope(top[0], True, root)}
     while scopes:
         table = spark.createDataFrame([(p, s.start, s.whole, s.merged.kind) for p, s in scopes.items()], "parent string, start long, whole boolean, of string")
-        # The parents' own rows in scope: how many, and which property each lacks.
+        # The parents' own rows in scope, for the properties that each lacks.
         own = rows.join(F.broadcast(table), (F.col("path") == F.col("parent")) & ((F.col("ord") > F.col("start")) | (F.col("whole") & (F.col("ord") == F.col("start")))))
-        counts = {r[0]: r[1] for r in own.groupBy("parent").count().collect()}
         above = F.regexp_replace("path", r"(?s)(/[^/*]*|\*)$", "")
         below = rows.where("path <> ''").withColumn("above", above).join(F.broadcast(table), (F.col("above") == F.col("parent")) & ((F.col("ord") > F.col("start")) | (F.col("whole") & (F.col("ord") == F.col("start")))))
         found = (
             below.groupBy("parent", "path")
-            .agg(F.countDistinct("ord").alias("n"), F.min("ord").alias("first"), F.collect_set("kind").alias("kinds"), F.bool_or("nullable").alias("nullable"), F.bool_and("required").alias("required"))
+            .agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.collect_set("kind").alias("kinds"), F.bool_or("nullable").alias("nullable"), F.bool_and("required").alias("required"))
             .collect()
         )
         names = spark.createDataFrame([(p, [r["path"][len(p) :] for r in found if r["parent"] == p and not r["path"].endswith("*")]) for p in scopes], "parent2 string, known array<string>")
