@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, slices
+from .common import Remembered, give_back, slices
 
 #: Words that a worker remembers, new words to a query, bytes of text and ids to a slice.
-WORDS, NEW_WORDS, SLICE_BYTES, SLICE_IDS = 800_000, 20_000, 2_000_000, 400_000
+WORDS, NEW_WORDS, SLICE_BYTES, SLICE_IDS = 400_000, 10_000, 1_000_000, 200_000
 
 ENCODE = """
 with recursive step(word, pos, token, turn) as (
@@ -39,7 +39,7 @@ with recursive step(word, pos, token, turn) as (
         from (select *, lead(token) over w as next, lag(pos) over w as before from step window w as (partition by word order by pos)) s
         left join merges m on m.l = s.token and m.r = s.next
     ), best as (
-        select word, min(merged * 4294967296 + pos) as least from pair where merged is not null group by word
+        select word, min(merged::bigint * 4294967296 + pos) as least from pair where merged is not null group by word
     )
     select p.word, p.pos, case when p.pos = b.least % 4294967296 then p.merged else p.token end, p.turn + 1
     from pair p join best b using (word)
@@ -67,20 +67,20 @@ class Coder:
         import regex
 
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.pattern = regex.compile(pattern)
-        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB"})
-        splits = [(self.ranks[t[:k]], self.ranks[t[k:]], rank) for t, rank in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        left, right, merged = (pa.array(x, pa.int64()) for x in zip(*splits, strict=True))
-        self._table("merges", pa.table({"l": left, "r": right, "merged": merged}))
-        self._table("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks]}))
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        splits = np.fromiter((x for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks for x in (ranks[t[:k]], ranks[t[k:]], rank)), dtype=np.int32).reshape(-1, 3)
+        self._table("merges", pa.table({"l": splits[:, 0].copy(), "r": splits[:, 1].copy(), "merged": splits[:, 2].copy()}))
         self.words = Remembered(self.learn, WORDS)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Coder:
         if path not in cls.made:
             cls.made[path] = cls(path, pattern)
+            give_back()
         return cls.made[path]
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -140,6 +140,14 @@ class Coder:
         return out
 
 
+def _encoded(coder: Coder, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """Ids of a batch's texts, a slice at a time."""
+    for lo, hi in slices(batch.column(1), SLICE_BYTES):
+        found = coder.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
+        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+        yield batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<u4").astype(np.int32)))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, ids)``: the ids of each text, an array of integers."""
     rows = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
@@ -148,15 +156,29 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(ranks_path, pattern)
         for batch in batches:
-            for lo, hi in slices(batch.column(1), SLICE_BYTES):
-                found = coder.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<u4").astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids], names=["doc", "ids"])
+            for doc, ids in _encoded(coder, batch):
+                yield pa.RecordBatch.from_arrays([doc, ids], names=["doc", "ids"])
+        give_back()  # the worker outlives the task
 
     return rows.mapInArrow(run, f"doc {kind}, ids array<int>")
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc, ids, bytes)``: what ``decode(encode(docs))`` gives, in one worker
+    process for each task instead of two."""
+    rows = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
+    kind = rows.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder.of(ranks_path, pattern)
+        for batch in batches:
+            for doc, ids in _encoded(coder, batch):
+                yield pa.RecordBatch.from_arrays([doc, ids, pa.array(coder.decode(ids), pa.binary())], names=["doc", "ids", "bytes"])
+        give_back()  # the worker outlives the task
+
+    return rows.mapInArrow(run, f"doc {kind}, ids array<int>, bytes binary")
+
+
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Adds ``bytes`` to the rows of ``encode``."""
     kind = encoded.schema["doc"].dataType.simpleString()
@@ -173,6 +195,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 part = pa.ListArray.from_arrays(pa.array(part.offsets.to_numpy() - part.offsets[0].as_py(), pa.int32()), part.flatten())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows, step), part, pa.array(coder.decode(part), pa.binary())], names=["doc", "ids", "bytes"])
                 rows += step
+        give_back()
 
     return encoded.select("doc", "ids").mapInArrow(run, f"doc {kind}, ids array<int>, bytes binary")
 

@@ -30,8 +30,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern)
-    return bpe.digests(bpe.decode(encoded, ranks, pattern)).withColumnRenamed("doc", "doc_id")
+    return bpe.digests(bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, pattern)).withColumnRenamed("doc", "doc_id")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
