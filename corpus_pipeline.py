@@ -40,7 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, ids, n_tokens, ids_sha256, decoded_sha256`` of each row."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     rows = docs.select(F.struct("doc_id", "source").alias("key"), "text")
-    decoded = bpe.decode(bpe.encode(rows, ranks, pattern, id_col="key"), ranks, pattern)
+    decoded = bpe.round_trip(rows, ranks, pattern, id_col="key")
     return decoded.select("doc.doc_id", "doc.source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
