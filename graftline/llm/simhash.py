@@ -160,7 +160,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
     """One document of each component, the one of the smallest id, with every
     column of ``docs``. Of repeated rows one stays."""
-    found = components(docs, id_col, text_col, radius, width)
+    return first_rows(docs, components(docs, id_col, text_col, radius, width), id_col, text_col)
+
+
+def first_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that come first in their component: ``found`` has
+    ``doc``, ``text_hash``, ``root`` and ``component`` of each row."""
     kept = stored(
         found.where(F.col("doc").eqNullSafe(F.col("component")))
         .groupBy("root", "doc", "text_hash")
