@@ -6,9 +6,11 @@ boilerplate: it is removed, and a document that keeps too little is rejected.
 
 Copies of one document share all their lines, which is duplication and not
 boilerplate. So a line counts as boilerplate only if the documents that hold it
-differ otherwise: its *companion* in a document is the smallest hash among that
-document's other lines, and at least ``min_spread`` of its documents must have
-companions of their own.
+differ otherwise. A document's *rest* is the set of its lines that aren't above
+the limits; a document that holds nothing but lines above them has that set of
+lines for its rest. Documents of one host with one rest are copies and count once:
+a line is boilerplate if ``min_spread`` of its documents differ in their rests, or
+if so many do that the line is above the limits with copies counted once.
 
 Defined results: a null text is an empty one; a null host is a host of its own;
 documents without words fail the base rules; repeated rows get the same result
@@ -117,40 +119,36 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """A row for each line with a word: document, host, place, the hash of the
-    line's normal form, its words, and its companion in the document."""
+    line's normal form, its words, and of the document's different lines the
+    number and the hashes' exclusive or."""
     keyed = _keyed(docs, id_col, text_col, host_col)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     n = lambda x: 1 + F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))  # noqa: E731  its words have one blank between them
     hashed = F.transform(F.transform(lines, normal_line), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("line"), n(x).alias("n")))
-    both = let(hashed, lambda h: F.struct(h.alias("lines"), F.slice(F.sort_array(F.array_distinct(F.transform(h, lambda x: x["line"]))), 1, 2).alias("low")))
-    rows = keyed.select("doc", "host", "text_hash", F.explode(let(both, lambda x: F.transform(x["lines"], lambda y: F.struct(y.alias("y"), x["low"].alias("low"))))).alias("x"))
-    low = F.col("x.low")
-    return rows.select(
-        "doc",
-        "host",
-        "text_hash",
-        "x.y.*",
-        F.when(F.get(low, F.lit(0)) == F.col("x.y.line"), F.get(low, F.lit(1))).otherwise(F.get(low, F.lit(0))).alias("companion"),
-    )
+    xor = lambda h: F.aggregate(h, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+    of_all = lambda h: F.struct(F.size(h).alias("n_lines"), xor(h).alias("all_lines"))
+    both = let(hashed, lambda h: F.struct(h.alias("lines"), let(F.array_distinct(F.transform(h, lambda x: x["line"])), of_all).alias("all")))
+    rows = keyed.select("doc", "host", "text_hash", F.explode(let(both, lambda x: F.transform(x["lines"], lambda y: F.struct(y.alias("y"), x["all"].alias("all"))))).alias("x"))
+    return rows.select("doc", "host", "text_hash", "x.y.*", "x.all.*")
 
 
 def frequent_lines(lines: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """Lines above the limits, from the rows of ``document_lines``: ``(host,
+    """Lines that are boilerplate, from the rows of ``document_lines``: ``(host,
     line)``. Counts are pre-aggregated in each task before any shuffle."""
     sizes = lines.groupBy("host").agg(F.approx_count_distinct("doc").alias("docs"))
-    held = lines.select("host", "line", "companion", "doc", "text_hash").distinct()  # repeated rows and lines
-    counts = (
-        held.groupBy("host", "line", "companion")
-        .agg(F.count("*").alias("n"))
-        .groupBy("host", "line")
-        .agg(F.sum("n").alias("n"), F.count("*").alias("companions"))
-        .where(F.col("n") > rules.min_docs)
-    )
-    return (
-        counts.join(sizes, counts.host.eqNullSafe(sizes.host))
-        .where((F.col("n") > rules.max_share * F.col("docs")) & (F.col("companions") >= rules.min_spread * F.col("n")))
-        .select(counts.host, "line")
-    )
+    held = lines.select("host", "line", "doc", "text_hash", "n_lines", "all_lines").distinct()  # repeated rows and lines
+    counts = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > rules.min_docs)
+    above = counts.join(sizes, counts.host.eqNullSafe(sizes.host)).where(F.col("n") > rules.max_share * F.col("docs"))
+    above = stored(above.select(counts.host.alias("h"), F.col("line").alias("l"), "n", "docs"), "lines-above-limits")
+    same = F.col("line").eqNullSafe(F.col("l")) & F.col("host").eqNullSafe(F.col("h"))
+    found = held.join(above.select("h", "l"), same, "left_semi").groupBy("host", "doc", "text_hash", "n_lines", "all_lines").agg(F.collect_set("line").alias("often"))
+    often = F.aggregate("often", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+    only = F.size("often") == F.col("n_lines")
+    rests = found.select("host", F.explode("often").alias("line"), only.alias("only"), F.when(only, often).otherwise(F.col("all_lines").bitwiseXOR(often)).alias("rest"))
+    rests = rests.groupBy("host", "line", "only", "rest").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("rests"))
+    differ = F.col("rests")
+    spread = (differ >= rules.min_spread * F.col("n")) | ((differ > rules.min_docs) & (differ > rules.max_share * F.col("docs")))
+    return rests.join(above, same).where(spread).select("host", "line")
 
 
 def removed_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -158,7 +156,7 @@ def removed_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str =
     removed)``; ``removed`` holds the hashes of the lines to remove."""
     lines = stored(document_lines(docs, id_col, text_col, host_col), "lines")
     often = stored(frequent_lines(lines, rules), "frequent-lines")
-    rows = lines.drop("companion")
+    rows = lines.drop("n_lines", "all_lines")
     return (
         rows.join(often.withColumnsRenamed({"host": "h", "line": "l"}), F.col("line").eqNullSafe(F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
         .select("doc", "text_hash", "line", "at", "n")
