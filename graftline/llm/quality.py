@@ -132,10 +132,17 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.select("doc", "host", "text_hash", "x.y.*", "x.all.*")
 
 
-def frequent_lines(lines: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """Lines that are boilerplate, from the rows of ``document_lines``: ``(host,
-    line)``. Counts are pre-aggregated in each task before any shuffle."""
-    sizes = lines.groupBy("host").agg(F.approx_count_distinct("doc").alias("docs"))
+def host_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``(host, docs)``: the number of distinct documents of each host, those
+    without words or ids included."""
+    each = _keyed(docs, id_col, text_col, host_col).groupBy("host", "doc", "text_hash").agg(F.lit(1).alias("one"))
+    return each.groupBy("host").agg(F.count("*").alias("docs"))
+
+
+def frequent_lines(lines: DataFrame, sizes: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """Lines that are boilerplate, from the rows of ``document_lines`` and
+    ``host_sizes``: ``(host, line)``. Counts are pre-aggregated in each task
+    before any shuffle."""
     held = lines.select("host", "line", "doc", "text_hash", "n_lines", "all_lines").distinct()  # repeated rows and lines
     counts = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > rules.min_docs)
     above = counts.join(sizes, counts.host.eqNullSafe(sizes.host)).where(F.col("n") > rules.max_share * F.col("docs"))
@@ -155,7 +162,7 @@ def removed_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str =
     """Documents with lines above the limits: ``(doc, text_hash, removed_words,
     removed)``; ``removed`` holds the hashes of the lines to remove."""
     lines = stored(document_lines(docs, id_col, text_col, host_col), "lines")
-    often = stored(frequent_lines(lines, rules), "frequent-lines")
+    often = stored(frequent_lines(lines, host_sizes(docs, id_col, text_col, host_col), rules), "frequent-lines")
     rows = lines.drop("n_lines", "all_lines")
     return (
         rows.join(often.withColumnsRenamed({"host": "h", "line": "l"}), F.col("line").eqNullSafe(F.col("l")) & F.col("host").eqNullSafe(F.col("h")))

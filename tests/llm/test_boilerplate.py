@@ -33,3 +33,17 @@ def test_copies_count_once(spark):
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     found = {r.doc: r.removed_words for r in quality.removed_lines(docs).collect()}
     assert collections.Counter(found.values()) == {6: 270} and set(found) == set(range(270))
+
+
+def test_hosts_are_counted_exactly(spark):
+    rows = [(i % 5000, "no line" if i % 2 else " ", "a") for i in range(10_000)] + [(None, f"text {name(i)}", "b") for i in range(300)] + [(i, f"text {name(i)}", None) for i in range(7001)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, source string")
+    assert {r.host: r.docs for r in quality.host_sizes(docs).collect()} == {"a": len(set(rows[:10_000])), "b": 300, None: 7001}
+
+
+def test_share_of_a_host_is_exact(spark):
+    """30 of 6,000 documents are 0.5 %, 30 of 5,999 are more; documents without words count."""
+    for n, removed in ((6000, 0), (5999, 30)):
+        rows = [(i, f"own words {name(i)}\nthe foot of the page" if i < 30 else f"text {name(i)}" if i < 3000 else "", "s") for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        assert quality.removed_lines(docs).count() == removed
