@@ -1,18 +1,29 @@
 """Byte-level BPE in DuckDB, one embedded database per Python worker.
 
 Spark deals out the documents; in each task the pattern splits texts into words,
-and words that the worker hasn't met go through a recursive query: rows of token
-and position join the merge table, and each step contracts the leftmost pair of
-least rank in every word, until no pair of any word is in the table. Decoding
-joins ids with the vocabulary and aggregates the bytes in order.
+and words that the worker hasn't met go through a recursive query. Its rows are a
+token, its place in the word, and the token and place that follow. Each turn joins
+them with the merge table and contracts the leftmost pair of least rank in every
+word; words of which no pair is in the table are put out and leave the recursion.
+Decoding joins ids with the vocabulary and aggregates the bytes in order, those
+of each different run of ids in a slice once.
 
 A rank file has a line for each token: its bytes in base64, and its id, which is
 its rank as well. A pair may merge if its joined bytes are a token. A word that
 is a token is that token.
 
-Defined results: a null text is an empty one and has no ids; null ids decode to
-no bytes; other columns are left alone. Texts and ids are worked on in slices of
-bounded size, and the memory of met words is bounded by ``WORDS``.
+A word of over ``WINDOW`` bytes is cut into overlapping windows. Where the tokens
+of two windows have a boundary and the token after it in common, one may be
+followed by the other: a sequence of tokens is the word's encoding if every two
+neighbours are the encoding of their joined bytes, and each of these pairs stands
+in the encoding of a window. Windows that don't meet so are taken again from a
+boundary of the last one, and made longer if need be, so the ids are exact.
+
+Defined results: a null text is an empty one and has no ids; null ids, and ids
+that aren't in the vocabulary, decode to no bytes; other columns are left alone,
+whatever their names; repeated rows are encoded each; an empty table gives an
+empty result. Texts and ids are worked on in slices of bounded size, and the
+memory of met units is bounded by ``UNITS``.
 """
 
 from __future__ import annotations
@@ -22,43 +33,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, give_back, slices
+from .common import give_back, slices
+from .units import UnitCoder, concat, cut, odd, offsets_of
 
-#: Words that a worker remembers, new words to a query, bytes of text and ids to a slice.
-WORDS, NEW_WORDS, SLICE_BYTES, SLICE_IDS = 400_000, 10_000, 1_000_000, 200_000
+#: Units that a worker remembers; words to a query; bytes of text and ids to a slice;
+#: ids to a row of the decoding query.
+UNITS, QUERY_WORDS, SLICE_BYTES, SLICE_IDS, BLOCK = 1_000_000, 50_000, 12_000_000, 3_000_000, 2048
+#: Bytes of the words that are encoded at once, and of those that go to a query of
+#: their own for its many turns; windows start every ``STEP`` bytes.
+WINDOW, SHORT, STEP = 128, 40, 64
+#: Ids to a run at most.
+RUN = 64
 
 ENCODE = """
-with recursive step(word, pos, token, turn) as (
-    select word, pos, token, 0 from start
+with recursive step(word, pos, token, next, next_pos, done) as (
+    select word, pos, token, next, next_pos, false from start
     union all
-    (with pair as (
-        select s.word, s.pos, s.token, s.turn, s.before, m.merged
-        from (select *, lead(token) over w as next, lag(pos) over w as before from step window w as (partition by word order by pos)) s
-        left join merges m on m.l = s.token and m.r = s.next
+    (with least as (
+        select s.word, min((m.merged::bigint << 46) | (s.pos::bigint << 23) | s.next_pos) as pair
+        from step s join merges m on m.l = s.token and m.r = s.next where not s.done group by s.word
     ), best as (
-        select word, min(merged::bigint * 4294967296 + pos) as least from pair where merged is not null group by word
+        select word, (pair >> 46)::int as merged, ((pair >> 23) & 8388607)::int as l, (pair & 8388607)::int as r from least
     )
-    select p.word, p.pos, case when p.pos = b.least % 4294967296 then p.merged else p.token end, p.turn + 1
-    from pair p join best b using (word)
-    where p.before is distinct from b.least % 4294967296)
+    select s.word, s.pos, case when s.pos = b.r then b.merged else s.token end,
+           case when s.next_pos = b.l then b.merged else s.next end,
+           case when s.next_pos = b.l then b.r else s.next_pos end, b.word is null
+    from step s left join best b on s.word = b.word
+    where not s.done and (b.word is null or s.pos <> b.l))
 )
-select word, list(token order by pos) as ids
-from step join (select word, max(turn) as turn from step group by word) using (word, turn)
-group by word
+select word, token from step where done order by word, pos
 """
 
 DECODE = """
-select piece, unhex(string_agg(v.hex, '' order by pos)) as bytes
-from (select piece, unnest(ids) as id, generate_subscripts(ids, 1) as pos from pieces) join vocabulary v using (id)
-group by piece
+select pos // {block} as block, list(v.bytes order by pos) as bytes
+from incoming join vocabulary v using (id) group by block order by block
 """
 
 
 class Coder:
-    """The tables of one rank file, and the words met so far."""
+    """The tables of one rank file, and the units met so far."""
 
     made: dict[str, Coder] = {}
 
@@ -68,13 +85,17 @@ class Coder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
-        self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks, pa.binary())}))
+        self.pattern, self.tokens, self.ranks = regex.compile(pattern), pa.array(ranks, pa.binary()), np.array(list(ranks.values()))
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         splits = np.fromiter((x for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks for x in (ranks[t[:k]], ranks[t[k:]], rank)), dtype=np.int32).reshape(-1, 3)
         self._table("merges", pa.table({"l": splits[:, 0].copy(), "r": splits[:, 1].copy(), "merged": splits[:, 2].copy()}))
-        self.words = Remembered(self.learn, WORDS)
+        top = max(ranks.values()) + 1
+        self.size, self.opens = np.zeros(top + 1, dtype=np.int64), np.zeros(top + 1, dtype=bool)  # the last for ids that aren't in the table
+        for token, rank in ranks.items():
+            self.size[rank], self.opens[rank] = len(token), token[:1] in (b" ", b"\n")
+        self.units = UnitCoder(self.code, self.single[10:11].astype("<u4").tobytes(), UNITS)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Coder:
@@ -88,76 +109,164 @@ class Coder:
         self.db.execute(f"create or replace table {name} as select * from incoming")
         self.db.unregister("incoming")
 
-    def learn(self, new: list[str]) -> list[bytes]:
+    def code(self, texts: pa.Array) -> pa.Array:
+        """The ids of texts, which the pattern splits into words."""
+        single = pc.match_substring_regex(texts, r"^ ?\pL+$")
+        alone = texts.filter(single).dictionary_encode()
+        split = [self.pattern.findall(t) for t in texts.filter(pc.invert(single)).to_pylist()]
+        words = list({w for ws in split for w in ws})
+        found = self.learn(concat(alone.dictionary, pa.array(words, pa.string())))
+        known = dict(zip(words, found.slice(len(alone.dictionary)).to_pylist(), strict=True))
+        joined = pa.array([b"".join(map(known.__getitem__, ws)) for ws in split], pa.large_binary())
+        first = single.to_numpy(zero_copy_only=False)
+        place = np.where(first, np.cumsum(first) - 1, len(alone) + np.cumsum(~first) - 1)
+        return concat(found.take(alone.indices), joined).take(pa.array(place))
+
+    def learn(self, words: pa.Array) -> pa.Array:
         """The ids of words, 4 little-endian bytes each."""
-        out = [rank.to_bytes(4, "little") if (rank := self.ranks.get(w.encode())) is not None else b"" for w in new]
-        rest = [k for k, ids in enumerate(out) if not ids]
-        for k in range(0, len(rest), NEW_WORDS):
-            part = [new[i].encode() for i in rest[k : k + NEW_WORDS]]
-            sizes = np.array([len(w) for w in part])
-            octets = np.frombuffer(b"".join(part), dtype=np.uint8)
-            ends = np.cumsum(sizes)
-            start = pa.table({"word": np.repeat(np.arange(len(part)), sizes), "pos": np.arange(len(octets)) - np.repeat(ends - sizes, sizes), "token": self.single[octets]})
-            self.db.register("start", start)
-            found = self.db.sql(ENCODE).to_arrow_table().combine_chunks()
+        words = words.cast(pa.binary())
+        at = pc.index_in(words, value_set=self.tokens)
+        size = pc.binary_length(words).to_numpy()
+        token = at.is_valid().to_numpy(zero_copy_only=False)
+        groups = [np.flatnonzero(x) for x in (token, ~token & (size <= SHORT), ~token & (size > SHORT) & (size <= WINDOW), ~token & (size > WINDOW))]
+        ids = self.ranks[at.drop_null().to_numpy()].astype("<u4")
+        parts = [cut(ids, 4 * np.arange(1, len(ids) + 1)), *[self._merged(words.take(pa.array(g))) for g in groups[1:3]], pa.array([self._long(w) for w in words.take(pa.array(groups[3])).to_pylist()], pa.large_binary())]
+        place = np.empty(len(words), dtype=np.int64)
+        place[np.concatenate(groups)] = np.arange(len(words))
+        return concat(*parts).take(pa.array(place))
+
+    def _merged(self, words: pa.Array) -> pa.Array:
+        """The ids that the recursive query gives for words of less than 8 million bytes."""
+        out = [pa.array([], pa.large_binary())]
+        for k in range(0, len(words), QUERY_WORDS):
+            part = words.slice(k, QUERY_WORDS)
+            offsets = offsets_of(part)
+            sizes, ends = np.diff(offsets), offsets[1:] - offsets[0]
+            token = self.single[np.frombuffer(part.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]]
+            pos = np.arange(len(token), dtype=np.int32) - np.repeat(ends - sizes, sizes).astype(np.int32)
+            after = np.append(token[1:], np.int32(-1))
+            after[ends - 1] = -1
+            rows = pa.table({"word": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": pos, "token": token, "next": after, "next_pos": pos + np.int32(1)})
+            self.db.register("start", rows)
+            found = self.db.sql(ENCODE).to_arrow_table()
             self.db.unregister("start")
-            ids = found.column("ids").combine_chunks()
-            flat, offsets = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            for word, lo, hi in zip(found.column("word").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                out[rest[k + word]] = flat[lo:hi].tobytes()
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.pattern.findall(t) for t in texts]
-        known = self.words.want({w for ws in split for w in ws})
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
-
-    def decode(self, ids: pa.ListArray) -> list[bytes]:
-        """The bytes of each list of ids; lists of any length are cut into pieces."""
-        flat, offsets = ids.flatten(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-        out = [b""] * len(ids)
-        lo = 0
+            out.append(cut(found.column("token").to_numpy().astype("<u4"), 4 * np.cumsum(np.bincount(found.column("word").to_numpy(), minlength=len(part)))))
+        return concat(*out)
+
+    def _long(self, word: bytes) -> bytes:
+        """The ids of a word of any length, from windows of it."""
+        known: dict[bytes, np.ndarray] = {}
+        places = range(0, len(word) - STEP, STEP)
+        pieces = list({word[k : k + WINDOW] for k in places})
+        for lo in range(0, len(pieces), 4000):
+            some = pieces[lo : lo + 4000]
+            known |= {w: np.frombuffer(x, dtype="<u4") for w, x in zip(some, self._merged(pa.array(some, pa.binary())).to_pylist(), strict=True)}
+
+        def window(at: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+            """The tokens of a window, and where they start in the word."""
+            piece = word[at : at + size]
+            if piece not in known:
+                known[piece] = np.frombuffer(self._merged(pa.array([piece], pa.binary()))[0].as_py(), dtype="<u4")
+            ids = known[piece]
+            return ids, at + np.cumsum(self.size[ids]) - self.size[ids]
+
+        out, at, size = [], 0, WINDOW  # tokens that are settled; place and length of the window
+        ids, starts = window(at, size)
+        while at + size < len(word):
+            grid = (at // STEP + 1) * STEP
+            for start in (grid, *starts[starts > at][::-1].tolist()):
+                more, begin = window(start, WINDOW)
+                _, here, there = np.intersect1d(starts, begin, assume_unique=True, return_indices=True)
+                fits = np.flatnonzero(ids[here] == more[there])
+                if len(fits):
+                    out.append(ids[: here[fits[0]]])
+                    ids, starts, at, size = more[there[fits[0]] :], begin[there[fits[0]] :], start, WINDOW
+                    break
+            else:
+                size *= 2
+                ids, starts = window(int(starts[0]), at + size - int(starts[0]))
+        return np.concatenate([*out, ids]).astype("<u4").tobytes()
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """A list of ids for each text."""
+        texts = pc.fill_null(texts, "")
+        whole = odd(texts)
+        ids, first = self.units.encode(texts.filter(pa.array(~whole)))
+        sizes = np.diff(np.append(first, len(ids))) - 1
+        keep = np.ones(len(ids), dtype=bool)
+        keep[first] = False  # the newlines before the texts
+        ids = ids[keep].astype(np.int32)
+        if whole.any():
+            # Both kinds of texts, and then all in their order.
+            others = self.code(texts.filter(pa.array(whole)))
+            place = np.where(whole, len(sizes) + np.cumsum(whole) - 1, np.cumsum(~whole) - 1)
+            both = concat(cut(ids, 4 * np.cumsum(sizes)), others).take(pa.array(place))
+            offsets = offsets_of(both)
+            ids = np.frombuffer(both.buffers()[2] or b"", dtype="<i4", count=int(offsets[-1]) // 4)
+            sizes = np.diff(offsets) // 4
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids."""
+        flat = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False).astype("<u4")
+        ends = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+        parts, lo = [], 0
         while lo < len(ids):
-            hi = lo + 1
-            while hi < len(ids) and offsets[hi + 1] - offsets[lo] <= SLICE_IDS:
-                hi += 1
-            owner, cuts = [], [int(offsets[lo])]
-            for i in range(lo, hi):
-                for end in [*range(int(offsets[i]) + SLICE_IDS, int(offsets[i + 1]), SLICE_IDS), int(offsets[i + 1])]:
-                    if end > cuts[-1]:
-                        owner.append(i)
-                        cuts.append(end)
-            for k in range(0, len(owner), max(1, len(owner) if cuts[-1] - cuts[0] <= SLICE_IDS else 1)):
-                n = len(owner) if cuts[-1] - cuts[0] <= SLICE_IDS else 1
-                bounds = cuts[k : k + n + 1]
-                part = flat.slice(bounds[0], bounds[-1] - bounds[0])
-                pieces = pa.table({"piece": np.arange(n), "ids": pa.ListArray.from_arrays(pa.array(np.array(bounds) - bounds[0], pa.int32()), part)})
-                self.db.register("pieces", pieces)
-                for piece, octets in self.db.execute(DECODE).fetchall():
-                    out[owner[k + piece]] += octets
-                self.db.unregister("pieces")
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE_IDS, "right")) - 1)
+            parts.append(self._bytes(flat[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]))
             lo = hi
-        return out
+        return pa.chunked_array(parts, pa.large_binary()).combine_chunks() if parts else pa.array([], pa.large_binary())
+
+    def _bytes(self, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+        if not len(flat):
+            return pa.array([b""] * (len(ends) - 1), pa.large_binary())
+        flat = np.minimum(flat, np.uint32(len(self.size) - 1))
+        # A run starts with a text, with a token that opens a word, and after RUN ids.
+        starts = self.opens[flat]
+        starts[ends[:-1][ends[:-1] < len(flat)]] = True
+        cuts = np.append(np.flatnonzero(starts), len(flat))
+        for i in np.flatnonzero(np.diff(cuts) > RUN).tolist():
+            starts[cuts[i] : cuts[i + 1] : RUN] = True
+        cuts = np.append(np.flatnonzero(starts), len(flat))
+        runs = cut(np.ascontiguousarray(flat), 4 * cuts[1:]).dictionary_encode()
+        offsets = offsets_of(runs.dictionary)
+        ids = np.frombuffer(runs.dictionary.buffers()[2], dtype="<u4", count=int(offsets[-1] - offsets[0]) // 4, offset=int(offsets[0])).astype(np.int32)
+        upto = np.concatenate([[0], np.cumsum(self.size[ids])])
+        known = cut(self._in_order(ids), upto[(offsets[1:] - offsets[0]) // 4])
+        found = known.take(runs.indices)
+        return cut(found.buffers()[2] or b"", offsets_of(found)[np.searchsorted(cuts, ends[1:])])
+
+    def _in_order(self, ids: np.ndarray) -> pa.Buffer:
+        """The bytes of ids, one after the other."""
+        self.db.register("incoming", pa.table({"id": ids, "pos": np.arange(len(ids), dtype=np.int32)}))
+        found = self.db.sql(DECODE.format(block=BLOCK)).to_arrow_table().combine_chunks()
+        self.db.unregister("incoming")
+        if not len(found):
+            return b""
+        tokens = found.column("bytes").combine_chunks().flatten()
+        offsets = offsets_of(tokens)
+        return tokens.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
+
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    rows = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
+    return rows, rows.schema["doc"].dataType.simpleString()
 
-def _encoded(coder: Coder, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.ListArray]]:
-    """Ids of a batch's texts, a slice at a time."""
-    for lo, hi in slices(batch.column(1), SLICE_BYTES):
-        found = coder.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
-        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-        yield batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<u4").astype(np.int32)))
+
+def _encoded(coder: Coder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """Ids of the texts, a slice at a time."""
+    for batch in batches:
+        for lo, hi in slices(batch.column(1), SLICE_BYTES):
+            yield batch.column(0).slice(lo, hi - lo), coder.encode(batch.column(1).slice(lo, hi - lo))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, ids)``: the ids of each text, an array of integers."""
-    rows = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
-    kind = rows.schema["doc"].dataType.simpleString()
+    rows, kind = _keyed(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder.of(ranks_path, pattern)
-        for batch in batches:
-            for doc, ids in _encoded(coder, batch):
-                yield pa.RecordBatch.from_arrays([doc, ids], names=["doc", "ids"])
+        for doc, ids in _encoded(Coder.of(ranks_path, pattern), batches):
+            yield pa.RecordBatch.from_arrays([doc, ids], names=["doc", "ids"])
         give_back()  # the worker outlives the task
 
     return rows.mapInArrow(run, f"doc {kind}, ids array<int>")
@@ -166,14 +275,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, ids, bytes)``: what ``decode(encode(docs))`` gives, in one worker
     process for each task instead of two."""
-    rows = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
-    kind = rows.schema["doc"].dataType.simpleString()
+    rows, kind = _keyed(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(ranks_path, pattern)
-        for batch in batches:
-            for doc, ids in _encoded(coder, batch):
-                yield pa.RecordBatch.from_arrays([doc, ids, pa.array(coder.decode(ids), pa.binary())], names=["doc", "ids", "bytes"])
+        for doc, ids in _encoded(coder, batches):
+            yield pa.RecordBatch.from_arrays([doc, ids, coder.decode(ids).cast(pa.binary())], names=["doc", "ids", "bytes"])
         give_back()  # the worker outlives the task
 
     return rows.mapInArrow(run, f"doc {kind}, ids array<int>, bytes binary")
@@ -193,7 +300,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 step = min(500, batch.num_rows - rows)
                 part = ids.slice(rows, step)
                 part = pa.ListArray.from_arrays(pa.array(part.offsets.to_numpy() - part.offsets[0].as_py(), pa.int32()), part.flatten())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows, step), part, pa.array(coder.decode(part), pa.binary())], names=["doc", "ids", "bytes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows, step), part, coder.decode(part).cast(pa.binary())], names=["doc", "ids", "bytes"])
                 rows += step
         give_back()
 
