@@ -15,41 +15,39 @@ of ids.
 
 Defined results: a null text is an empty one and has the end id alone; documents
 come in ascending order of id, null first, and those of one id in order of text;
-an empty table gives no file. A task that runs again writes the same file under
-the same name.
+an empty table gives no file; other columns are left alone, whatever their names.
+Ids are those of the tokenizer's own call, so text that spells one of its added
+tokens gets that token's id. Files hold about ``FILE_IDS`` ids, or one longer
+document. A task that runs again writes the same file under the same name.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, file_system, slices, stored
+from .common import file_system, slices, stored
+from .units import UnitCoder, concat, cut, odd, offsets_of
 
 MAGIC, HEADER = b"GLHUF001", "<8s7Q"
 BLOCK, SLICE = 1024, 1024 * 1024
-#: White space other than a single blank or newline between other characters; the
-#: control characters and the spaces are those of Unicode.
-ODD_SPACE = r"[\t\r\x0B\x0C\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$|^$"
-UNITS = 1_800_000
-#: Marks that are a token of their own after a letter.
-MARKS = ".,;:!?"
+#: Units that a worker remembers; ids to a file; bytes of text to a slice.
+UNITS, FILE_IDS, SLICE_BYTES = 800_000, 32 << 20, 8_000_000
 
 
 class Encoder:
-    """A tokenizer and the ids of the units met so far.
+    """A tokenizer, and the ids of the units met so far.
 
-    The tokenizer's own pattern never joins characters across a single blank or
-    newline, except a blank to what follows it. So texts without other white
-    space are cut into units at those, Arrow finds the different ones, and each
-    is encoded once; a unit's newline stays with it, its blank is left out. Other
-    texts are encoded whole.
+    Texts with odd white space, or with the content of a token that the tokenizer
+    has added to its vocabulary, are encoded whole.
     """
 
     made: dict[str, Encoder] = {}
@@ -58,10 +56,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.newline = self._ids("\n")
-        self.marks = {m: self._ids(m) for m in MARKS}
-        self.units = Remembered(self.learn, UNITS)
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.units = UnitCoder(self._lines, np.array([self.newline], dtype="<u4").tobytes(), UNITS)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -69,74 +66,38 @@ class Encoder:
             cls.made[path] = cls(path)
         return cls.made[path]
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, units: list[str]) -> list[bytes]:
-        """Ids of units; of those that differ in a last mark only, one is encoded."""
-        known = self.units.known
-        stems = [u[:-1] if u[-1] in self.marks and u[-2:-1].isalpha() else u for u in units]
-        new = sorted({s for s in stems if s not in known})
-        found = self._lines([s[1:] if s[0] == "\n" else " " + s for s in new])
-        ids = {s: self.newline + x if s[0] == "\n" else x for s, x in zip(new, found, strict=True)}
-        return [known.get(s) or ids[s] if len(s) == len(u) else (known.get(s) or ids[s]) + self.marks[u[-1]] for s, u in zip(stems, units, strict=True)]
-
-    def _lines(self, units: list[str]) -> list[bytes]:
+    def _lines(self, units: pa.Array) -> pa.Array:
         """Ids of units, from texts of a unit a line."""
-        out: list[bytes] = []
-        (line,) = np.frombuffer(self.newline, dtype="<u4").tolist()
+        out = [pa.array([], pa.large_binary())]
         for k in range(0, len(units), 2000):
-            (found,) = self.tokenizer.encode_batch_fast(["\n".join(units[k : k + 2000])], add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4")
-            data, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == line)).tolist()
-            out += [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)]
-        return out
+            (found,) = self.tokenizer.encode_batch_fast(["\n".join(units.slice(k, 2000).to_pylist())], add_special_tokens=False)
+            ids = np.array([*found.ids, self.newline], dtype="<u4")
+            ends = np.flatnonzero(ids == self.newline)
+            out.append(cut(ids[ids != self.newline], 4 * (ends - np.arange(len(ends)))))
+        return concat(*out)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, the end id after each, and how many each has."""
-        import pyarrow.compute as pc
-
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
-        ids, sizes = self._by_units(texts.filter(pa.array(~odd)), end_id)
-        if not odd.any():
-            return ids, sizes
-        whole = [np.array([*x.ids, end_id], dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)]
-        parts: list = [None] * len(texts)
-        for k, x in zip(np.flatnonzero(odd).tolist(), whole, strict=True):
-            parts[k] = x
-        for k, x in zip(np.flatnonzero(~odd).tolist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=False):
-            parts[k] = x
-        return np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
-
-    def _by_units(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        import pyarrow.compute as pc
-
-        if not len(texts):
-            return np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64)
-        marked = pc.binary_join_element_wise("", pc.replace_substring(texts, "\n", " \n"), "\n")
-        units = pc.split_pattern(marked, " ")
-        coded = units.flatten().dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        known = self.units.want(set(different))
-        found = [known[u] for u in different]
-        data = np.frombuffer(b"".join(found), dtype="<u4")
-        length = np.array([len(x) // 4 for x in found], dtype=np.int64)
-        start = np.cumsum(length) - length
-        which = coded.indices.to_numpy()
-        n = length[which]
-        upto = np.cumsum(n)
-        ids = data[np.repeat(start[which] - (upto - n), n) + np.arange(int(upto[-1]))]
-        # Every text starts with a newline of ours; the end of the text before takes its place.
-        first = units.offsets.to_numpy()[:-1] - units.offsets[0].as_py()
-        at = (upto - n)[first]
-        ids[at] = end_id
-        return np.append(ids[1:], np.uint32(end_id)).astype("<u4"), np.diff(np.append(at, len(ids)))
+        whole = odd(texts, self.added)
+        ids, first = self.units.encode(texts.filter(pa.array(~whole)))
+        # Each text's newline gives its place to the end of the text before.
+        ids = ids.copy()
+        ids[first] = end_id
+        ids, sizes = np.append(ids[1:], np.uint32(end_id)).astype("<u4") if len(first) else ids, np.diff(np.append(first, len(ids)))
+        if whole.any():
+            others = [np.array([*x.ids, end_id], dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)]
+            place = np.where(whole, len(sizes) + np.cumsum(whole) - 1, np.cumsum(~whole) - 1)
+            both = concat(cut(ids, 4 * np.cumsum(sizes)), pa.array(others, pa.large_binary())).take(pa.array(place))
+            offsets = offsets_of(both)
+            ids, sizes = np.frombuffer(both.buffers()[2], dtype="<u4", count=int(offsets[-1]) // 4), np.diff(offsets) // 4
+        return ids, sizes
 
 
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
     """Code lengths of least total for ``counts``, none over ``max_bits``; 0 for
-    symbols that don't occur. By the package-merge method."""
+    symbols that don't occur. By the package-merge method. Raises ValueError if
+    ``max_bits`` is too small for so many symbols."""
     used = np.flatnonzero(counts)
     out = np.zeros(len(counts), dtype=np.uint8)
     if len(used) < 2:
@@ -207,39 +168,48 @@ class Code:
 
 
 def _write_raw(folder: str, tokenizer_path: str, end_id: int):
-    """Encodes rows ``(doc, text)`` in order; a file of raw ids for each task."""
+    """Encodes rows ``(doc, text)`` in order, into files of about ``FILE_IDS`` raw
+    ids; a file ends with a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder = Encoder.of(tokenizer_path)
-        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        task, attempt, number = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
         system, inner = file_system(folder)
         system.create_dir(inner, recursive=True)
-        counts, docs, sizes = np.zeros(end_id + 1, dtype=np.int64), [], []
-        out = None
+        out, counts, docs, sizes, size = None, np.zeros(end_id + 1, dtype=np.int64), [], [], 0
+
+        def close() -> pa.RecordBatch:
+            """A file gets its name when it is whole."""
+            nonlocal out, counts, docs, sizes, size, number
+            out.close()
+            sink.close()
+            part = task << 32 | number
+            system.move(f"{inner}/_raw-{task:05d}-{attempt}", f"{inner}/raw-{task:05d}-{number:05d}")
+            used = np.flatnonzero(counts)
+            columns = [pa.array([part]), pa.array([f"{folder}/raw-{task:05d}-{number:05d}"]), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([used], pa.list_(pa.int64())), pa.array([counts[used]], pa.list_(pa.int64()))]
+            out, counts, docs, sizes, size, number = None, np.zeros(end_id + 1, dtype=np.int64), [], [], 0, number + 1
+            return pa.RecordBatch.from_arrays(columns, names=["part", "path", "docs", "sizes", "symbols", "counts"])
+
         for batch in batches:
-            for lo, hi in slices(batch.column(1), 4_000_000):
+            for lo, hi in slices(batch.column(1), SLICE_BYTES):
                 if out is None:
-                    sink = system.open_output_stream(f"{inner}/_raw-{part:05d}-{attempt}", compression=None)
+                    sink = system.open_output_stream(f"{inner}/_raw-{task:05d}-{attempt}", compression=None)
                     out = pa.CompressedOutputStream(sink, "zstd")
-                ids, size = encoder.encode(batch.column(1).slice(lo, hi - lo), end_id)
-                out.write(ids.tobytes())
+                ids, n = encoder.encode(batch.column(1).slice(lo, hi - lo), end_id)
+                out.write(np.ascontiguousarray(ids))
                 some = np.bincount(ids)
                 if len(some) > len(counts):
                     counts = np.concatenate([counts, np.zeros(len(some) - len(counts), dtype=np.int64)])
                 counts[: len(some)] += some
                 docs += batch.column(0).slice(lo, hi - lo).to_pylist()
-                sizes += size.tolist()
-        if out is None:
-            return
-        out.close()
-        sink.close()
-        raw = f"raw-{part:05d}"
-        system.move(f"{inner}/_raw-{part:05d}-{attempt}", f"{inner}/{raw}")
-        used = np.flatnonzero(counts)
-        columns = [pa.array([part]), pa.array([f"{folder}/{raw}"]), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([used], pa.list_(pa.int64())), pa.array([counts[used]], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["part", "path", "docs", "sizes", "symbols", "counts"])
+                sizes += n.tolist()
+                size += len(ids)
+                if size >= FILE_IDS:
+                    yield close()
+        if out is not None:
+            yield close()
 
     return run
 
@@ -265,7 +235,7 @@ def _write_coded(folder: str, lengths: np.ndarray):
         system, inner = file_system(folder)
         for batch in batches:
             for part, path, docs, sizes in zip(*[batch.column(c).to_pylist() for c in ("part", "path", "docs", "sizes")], strict=True):
-                name, final = f"{inner}/_ids-{part:05d}-{attempt}", f"ids-{part:05d}.huf"
+                name, final = f"{inner}/_ids-{part:013x}-{attempt}", f"ids-{part:013x}.huf"
                 packed, at, payload = [], [], 0
                 with system.open_input_stream(file_system(path)[1], compression=None) as raw:
                     ids = pa.CompressedInputStream(raw, "zstd")
@@ -321,13 +291,14 @@ def _summed(raw: DataFrame, end_id: int) -> np.ndarray:
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, max_bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode ``docs`` and write their ids below ``folder``; returns the files:
     ``(part, path, n_docs, n_ids, bytes, first_id)``, ``first_id`` being the
-    number of ids in the files before."""
+    number of ids in the files before. ``max_bits`` has to hold the different ids,
+    else a ValueError tells so."""
     rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text")).repartitionByRange("doc").sortWithinPartitions("doc", "text")
     raw = stored(rows.mapInArrow(_write_raw(folder, tokenizer_path, end_id), "part long, path string, docs array<long>, sizes array<long>, symbols array<long>, counts array<long>"), "raw-files")
     counts = _summed(raw, end_id)
-    lengths = code_lengths(counts, max(max_bits, int(np.count_nonzero(counts) - 1).bit_length()))
+    lengths = code_lengths(counts, max_bits)
     parts = raw.select("part", "path", "docs", "sizes")
-    files = parts.repartition(max(1, parts.count()), "part").mapInArrow(_write_coded(folder, lengths), "part long, path string, n_docs long, n_ids long, bytes long")
+    files = parts.repartition(max(1, parts.count())).mapInArrow(_write_coded(folder, lengths), "part long, path string, n_docs long, n_ids long, bytes long")
     files = stored(files, "id-files")
     for r in raw.select("path").toLocalIterator():  # the raw files have done their work
         system, inner = file_system(r[0])
@@ -387,4 +358,4 @@ def read(files: DataFrame) -> DataFrame:
                 left, doc, start = left[int(cuts[-1]) :], doc + n, start + int(cuts[-1]) // 4
 
     paths = files.select("path", "first_id")
-    return paths.repartition(max(1, paths.count()), "path").mapInArrow(run, "doc long, start long, n_tokens long, ids binary")
+    return paths.repartition(max(1, paths.count())).mapInArrow(run, "doc long, start long, n_tokens long, ids binary")
