@@ -1,15 +1,21 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-Vectors go to the shards of their ``overlap`` nearest centroids. In each shard a
-graph is built: every vector is linked to its nearest ones, and a link is pruned
-if a kept neighbour is nearer to its end by the factor ``alpha``. The adjacency
-lists that a vector gets in its shards are united. A query starts at the medoid
-of a shard, goes greedily to where the vectors are nearest, and from there on
-expands every vector it meets within the range. Pairs are verified by the cosine
-in double precision.
-
-The recall is audited against brute force over all vectors for a bounded sample
-of them; as long as it is under the target, the overlap is doubled.
+Vectors go to the shards of their ``overlap`` nearest centroids. The driver fits a
+bounded number of centroids on a bounded sample; where these give cells that are
+too large, centroids of each cell are fitted in tasks, so shards don't grow with
+the table. In each shard a graph is built: every vector is linked to its nearest
+ones, and a link is pruned if a kept neighbour is nearer to its end by the factor
+``alpha``. The adjacency lists that a vector gets in its shards are united. A
+query starts at the medoids of a shard's parts, goes greedily to where the vectors
+are nearest, and from there on expands every vector it meets within the range.
+Pairs are verified by the cosine in double precision.
+
+The recall is audited against brute force over all vectors: for a bounded sample
+of them, and for as many probes, copies of sampled vectors that are turned away
+from them within the range. Probes are built into the graphs and searched like
+any vector, and so have links to miss, but they count for no one and join nothing.
+As long as the recall is under the target, overlap and beam are doubled; a recall
+under ``least_recall`` at the end is an error.
 
 Equal vectors are one node, whatever their number. A shard that is too large is
 cut into blocks with a graph each, and every two blocks of it meet in a unit of
@@ -18,13 +24,14 @@ their own. A unit returns counts, and a spanning forest of its links.
 Defined results: rows whose vector or id is null, whose vector has a null or
 non-finite component, or no component that isn't zero, link with nothing; vectors
 of different length don't link; rows that repeat an id or a vector are vectors of
-their own; an empty table gives an empty result. Nodes are told apart by a 64-bit
+their own; other columns are left alone, whatever their names; an empty table
+gives an empty result and has a recall of 1. Nodes are told apart by a 64-bit
 hash of the vector.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +44,11 @@ from .common import connected_components, stored
 @dataclass(frozen=True)
 class Graph:
     """``shard_rows``: vectors to a centroid; ``max_centroids`` and ``sample_rows``
-    bound what the driver fits; ``block_rows``: vectors of a shard in one task;
-    ``near`` and ``degree``: candidates and kept links of a vector; ``beam``:
-    vectors that a search expands at least; ``entries``: rows it may start from
-    besides the medoid; ``slack``: how far beyond the range
-    it expands; ``audit_rows``: vectors held against brute force."""
+    bound what the driver, or the task of a cell, fits; ``block_rows``: vectors of a
+    shard in one task; ``near`` and ``degree``: candidates and kept links of a
+    vector; ``beam``: vectors that a search expands at least; ``parts`` of a unit
+    whose medoids it starts from; ``slack``: how far beyond the range it expands;
+    ``audit_rows``: vectors, and probes, held against brute force."""
 
     overlap: int = 4
     shard_rows: int = 700
@@ -52,10 +59,11 @@ class Graph:
     degree: int = 24
     alpha: float = 1.2
     beam: int = 12
-    entries: int = 64
+    parts: int = 32
     slack: float = 0.15
     audit_rows: int = 256
     target_recall: float = 0.99
+    least_recall: float = 0.9
     seed: int = 11
 
 
@@ -111,21 +119,29 @@ def robust_graph(x: np.ndarray, graph: Graph) -> tuple[list[np.ndarray], int]:
         todo.append(j)
 
 
-def range_search(queries: np.ndarray, x: np.ndarray, links: list[np.ndarray], medoid: int, least: float, graph: Graph, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def medoids(x: np.ndarray, parts: int) -> list[int]:
+    """The medoid of all rows, and those of the rows around ``parts`` spread ones."""
+    spread = x[:: max(1, len(x) // parts)]
+    label = (x @ spread.T).argmax(axis=1)
+    middle = np.zeros_like(spread)
+    np.add.at(middle, label, x)
+    near = np.einsum("ij,ij->i", x, middle[label])
+    order = np.lexsort((-near, label))
+    first = order[np.concatenate([[True], label[order][1:] != label[order][:-1]])]
+    return sorted({int(np.argmax(x @ x.mean(axis=0))), *first.tolist()})
+
+
+def range_search(queries: np.ndarray, x: np.ndarray, links: list[np.ndarray], least: float, graph: Graph) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query, row, cosine)`` of what all queries, in step, meet at ``least`` or
-    more. Queries that are rows themselves, ``own``, start there as well."""
+    more, starting at the medoids of ``x``."""
     n, q = len(x), len(queries)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in links])])
     flat = np.concatenate(links) if n else np.empty(0, dtype=np.int64)
     sims = np.full((q, n), -2.0, dtype=np.float64)
     open_ = np.zeros((q, n), dtype=bool)  # met, not yet expanded
-    # The medoid of all, and rows spread over the block for the parts that it is far from.
-    for entry in {medoid, *range(0, n, max(1, n // graph.entries))}:
-        sims[:, entry] = queries @ x[entry]
-        open_[:, entry] = True
-    if own is not None:
-        sims[np.arange(q), own] = 1.0
-        open_[np.arange(q), own] = True
+    entries = medoids(x, graph.parts)
+    sims[:, entries] = queries @ x[entries].T
+    open_[:, entries] = True
 
     def expand(who: np.ndarray, at: np.ndarray) -> None:
         """Meet the neighbours of rows ``at``, for the queries ``who``."""
@@ -159,6 +175,17 @@ def range_search(queries: np.ndarray, x: np.ndarray, links: list[np.ndarray], me
     return who, at, sims[who, at]
 
 
+def k_means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    c = x[np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)]
+    for _ in range(8):
+        label = (x @ c.T).argmax(axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, label, x)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(norm > 0, total / np.where(norm > 0, norm, 1), c)
+    return c
+
+
 def fit_centroids(nodes: DataFrame, graph: Graph) -> dict[int, np.ndarray]:
     """Centroids for each vector length, fitted on a bounded sample of all rows."""
     sizes = {r[0]: r[1] for r in nodes.groupBy("dim").count().collect()}
@@ -166,20 +193,18 @@ def fit_centroids(nodes: DataFrame, graph: Graph) -> dict[int, np.ndarray]:
     for dim, n in sizes.items():
         k = int(min(graph.max_centroids, max(1, n // graph.shard_rows)))
         rows = nodes.where(F.col("dim") == dim).orderBy(F.xxhash64("node", F.lit(graph.seed))).limit(graph.sample_rows).select("embedding").toArrow()
-        x = matrix(rows.column(0))
-        c = x[np.random.default_rng(graph.seed).choice(len(x), min(k, len(x)), replace=False)]
-        for _ in range(8):
-            label = (x @ c.T).argmax(axis=1)
-            total = np.zeros_like(c)
-            np.add.at(total, label, x)
-            norm = np.linalg.norm(total, axis=1, keepdims=True)
-            c = np.where(norm > 0, total / np.where(norm > 0, norm, 1), c)
-        out[dim] = c
+        out[dim] = k_means(matrix(rows.column(0)), k, graph.seed)
     return out
 
 
-def _sharded(nodes: DataFrame, centroids: dict[int, np.ndarray], graph: Graph, overlap: int) -> DataFrame:
-    """``(node, weight, embedding, shards, shard, blocks, i)``: a row for each shard of a node."""
+def _nearest(x: np.ndarray, c: np.ndarray, overlap: int) -> np.ndarray:
+    """The places of the nearest centroids of each row, in order of places."""
+    m = min(overlap, len(c))
+    return np.sort(np.argpartition(-(x @ c.T), m - 1, axis=1)[:, :m], axis=1)
+
+
+def _in_cells(nodes: DataFrame, centroids: dict[int, np.ndarray], overlap: int) -> DataFrame:
+    """``(node, weight, embedding, shards)``, shards being the nearest centroids."""
     dims = sorted(centroids)
     base = {d: sum(len(centroids[e]) for e in dims if e < d) for d in dims}
 
@@ -189,15 +214,60 @@ def _sharded(nodes: DataFrame, centroids: dict[int, np.ndarray], graph: Graph, o
             shards: list = [None] * len(dim)
             for d in np.unique(dim).tolist():
                 at = np.flatnonzero(dim == d)
-                c = centroids[d]
-                sims = matrix(batch.column("embedding").take(pa.array(at))) @ c.T
-                m = min(overlap, len(c))
-                best = np.sort(np.argpartition(-sims, m - 1, axis=1)[:, :m], axis=1) + base[d]
+                best = _nearest(matrix(batch.column("embedding").take(pa.array(at))), centroids[d], overlap) + base[d]
                 for i, row in zip(at.tolist(), best.tolist(), strict=True):
                     shards[i] = row
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "weight", "embedding")], pa.array(shards, pa.list_(pa.int64()))], names=["node", "weight", "embedding", "shards"])
 
-    rows = nodes.mapInArrow(run, "node long, weight long, embedding array<double>, shards array<long>").select("*", F.explode("shards").alias("shard"))
+    return nodes.mapInArrow(run, "node long, weight long, embedding array<double>, shards array<long>")
+
+
+def _split_cells(rows: DataFrame, graph: Graph, overlap: int) -> DataFrame:
+    """``rows`` of ``_in_cells`` with shards of about ``shard_rows``: cells that are
+    over twice as large as a centroid should make them get centroids of their own.
+    A cell is fitted on a bounded sample, and its vectors are dealt out to many
+    tasks that each get its centroids."""
+    inner = max(1, overlap // 2)  # of a cell's own centroids, for each vector in it
+    each = rows.select("*", F.explode("shards").alias("cell"))
+    sizes = each.groupBy("cell").agg(F.count("*").alias("n")).withColumn("k", F.when(F.col("n") > 2 * overlap * graph.shard_rows, F.ceil(F.col("n") * inner / (overlap * graph.shard_rows))).otherwise(1).cast("int"))
+    sizes = stored(sizes, "cell-sizes")
+    if sizes.where("k > 1").isEmpty():
+        return rows
+    share = F.least(F.lit(1.0), F.col("k") * F.lit(32.0) / F.col("n"))  # of the cell's vectors, 32 to a centroid
+    sample = each.join(sizes.where("k > 1"), "cell").where(F.shiftrightunsigned(F.xxhash64("node", F.lit(graph.seed)), 11) / F.lit(float(1 << 53)) < share)
+    sample = sample.withColumn("groups", F.ceil(F.col("k") * 32 / graph.sample_rows)).withColumn("group", F.pmod(F.xxhash64("node", F.lit(graph.seed + 2)), F.col("groups")).cast("int"))
+
+    def fit(table: pa.Table) -> pa.Table:
+        """A cell's centroids; those of a very large cell are fitted in groups."""
+        k = -(-table.column("k")[0].as_py() // table.column("groups")[0].as_py())
+        c = k_means(matrix(table.column("embedding")), k, graph.seed)
+        return pa.table({"cell": pa.array([table.column("cell")[0].as_py()] * len(c), pa.int64()), "centroid": pa.array(list(c), pa.list_(pa.float64()))})
+
+    fitted = sample.select("cell", "k", "groups", "group", "embedding").groupBy("cell", "group").applyInArrow(fit, "cell long, centroid array<double>")
+    fitted = stored(fitted.groupBy("cell").agg(F.collect_list("centroid").alias("centroids")), "cell-centroids")
+    chunks = F.ceil(F.col("n") / 20_000).cast("int")
+    dealt = each.join(sizes, "cell").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).select("cell", "chunk", "node", "weight", "embedding")
+    offered = fitted.join(sizes, "cell").select("cell", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "centroids")
+
+    def place(members: pa.Table, offers: pa.Table) -> pa.Table:
+        cell = members.column("cell") if len(members) else pa.array([], pa.int64())
+        if len(members) and len(offers):
+            c = np.array(offers.column("centroids")[0].as_py(), dtype=np.float64)
+            best = _nearest(matrix(members.column("embedding")), c, inner)
+            found = [[(int(cell[0].as_py()) << 32) + j + 1 for j in row] for row in best.tolist()]
+        else:
+            found = [[x << 32] for x in cell.to_pylist()]
+        return pa.table({"node": members.column("node"), "weight": members.column("weight"), "embedding": members.column("embedding"), "found": pa.array(found, pa.list_(pa.int64()))})
+
+    placed = dealt.groupBy("cell", "chunk").cogroup(offered.groupBy("cell", "chunk")).applyInArrow(place, "node long, weight long, embedding array<double>, found array<long>")
+    of = placed.groupBy("node").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("shards"))
+    return rows.drop("shards").join(of, "node")
+
+
+def _sharded(nodes: DataFrame, centroids: dict[int, np.ndarray], graph: Graph, overlap: int) -> DataFrame:
+    """``(node, weight, embedding, shards, shard, blocks, i)``: a row for each shard of a node."""
+    rows = _split_cells(stored(_in_cells(nodes, centroids, overlap), "cells"), graph, overlap)
+    rows = rows.select("node", "weight", "embedding", "shards", F.explode("shards").alias("shard"))
     sizes = rows.groupBy("shard").agg(F.count("*").alias("n")).select("shard", F.ceil(F.col("n") / graph.block_rows).cast("int").alias("blocks"))
     return rows.join(sizes, "shard").withColumn("i", F.pmod(F.xxhash64("node", "shard"), F.col("blocks")).cast("int"))
 
@@ -221,10 +291,10 @@ def _found(rows: DataFrame, least: float, graph: Graph) -> DataFrame:
         place = {v: k for k, v in enumerate(ids.tolist())}
         # United lists: what other shards have found counts where both ends are here.
         links = [np.array(sorted(place[v] for v in s if v in place), dtype=np.int64) for s in members.column("next").to_pylist()]
-        medoid, links = _reachable(x, links)
+        links = _reachable(x, links)
         q_ids = queries.column("node").to_numpy()
         same = len(q_ids) == len(ids) and bool((q_ids == ids).all())
-        who, at, _ = range_search(matrix(queries.column("embedding")), x, links, medoid, least, graph, np.arange(len(ids)) if same else None)
+        who, at, _ = range_search(matrix(queries.column("embedding")), x, links, least, graph)
         if same:  # what one end has found, the other has
             both = np.unique(np.concatenate([who * len(ids) + at, at * len(ids) + who]))
             who, at = both // len(ids), both % len(ids)
@@ -235,7 +305,8 @@ def _found(rows: DataFrame, least: float, graph: Graph) -> DataFrame:
         here = common.min(axis=(1, 2), initial=np.iinfo(np.int64).max) == shard  # a pair counts in its first shard
         counts = np.bincount(who[here], weights=members.column("weight").to_numpy()[at[here]], minlength=len(q_ids)).astype(np.int64)
         some = np.flatnonzero(counts)
-        edges = _forest(q_ids[who], ids[at])
+        real = (queries.column("weight").to_numpy()[who] > 0) & (members.column("weight").to_numpy()[at] > 0)
+        edges = _forest(q_ids[who[real]], ids[at[real]])
         void = lambda n: pa.nulls(n, pa.int64())
         return pa.concat_tables(
             [
@@ -259,8 +330,8 @@ def _padded(lists) -> np.ndarray:
     return np.array([[*s, *[-1] * (width - len(s))] for s in lists], dtype=np.int64).reshape(len(lists), width)
 
 
-def _reachable(x: np.ndarray, links: list[np.ndarray]) -> tuple[int, list[np.ndarray]]:
-    """The medoid, and the links with one more to each part that it can't reach."""
+def _reachable(x: np.ndarray, links: list[np.ndarray]) -> list[np.ndarray]:
+    """The links, and one more from the medoid to each part that it can't reach."""
     medoid = int(np.argmax(x @ x.mean(axis=0)))
     seen, todo, more = np.zeros(len(x), dtype=bool), [medoid], []
     seen[medoid] = True
@@ -272,7 +343,7 @@ def _reachable(x: np.ndarray, links: list[np.ndarray]) -> tuple[int, list[np.nda
             todo += new.tolist()
         rest = np.flatnonzero(~seen)
         if not len(rest):
-            return medoid, [np.concatenate([s, np.array(more, dtype=np.int64)]) if i == medoid else s for i, s in enumerate(links)]
+            return [np.concatenate([s, np.array(more, dtype=np.int64)]) if i == medoid else s for i, s in enumerate(links)]
         j = int(rest[np.argmax(x[rest] @ x[medoid])])
         seen[j] = True
         more.append(j)
@@ -299,10 +370,33 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(kept, dtype=np.int64).reshape(-1, 2)
 
 
-def audit(nodes: DataFrame, counts: DataFrame, least: float, graph: Graph) -> float:
-    """Links found of those that brute force finds, for a bounded sample of nodes
-    against all nodes."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(graph.seed + 1))).limit(graph.audit_rows).select("node", "dim", "embedding").toArrow()
+def probes(nodes: DataFrame, least: float, graph: Graph) -> DataFrame:
+    """Rows like those of ``nodes``, of no weight: sampled vectors that are turned
+    away from themselves, as far as the range allows at most."""
+    sample = nodes.orderBy(F.xxhash64("node", F.lit(graph.seed + 3))).limit(graph.audit_rows).select("embedding")
+
+    def turn(batches):
+        for batch in batches:
+            out = []
+            for k, v in enumerate(batch.column(0)):
+                x = matrix(pa.array([v.as_py()], pa.list_(pa.float64())))[0]
+                draw = np.random.default_rng([graph.seed, k, int(np.abs(x).sum() * 1e6)])
+                away = draw.normal(size=len(x))
+                away -= (away @ x) * x
+                size = np.linalg.norm(away)
+                cosine = draw.uniform(least + 0.02 * (1 - least), 1 - 0.02 * (1 - least))
+                out.append((cosine * x + np.sqrt(1 - cosine**2) * away / size if size > 1e-9 else x).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64()))], names=["embedding"])
+
+    turned = sample.repartition(1).mapInArrow(turn, "embedding array<double>")
+    new = turned.select(F.xxhash64("embedding").alias("node"), F.lit(0).cast("long").alias("weight"), "embedding", F.size("embedding").alias("dim")).dropDuplicates(["node"])
+    return stored(new.join(nodes.select("node"), "node", "left_anti"), "probes")
+
+
+def audit(nodes: DataFrame, asked: DataFrame, counts: DataFrame, least: float, graph: Graph) -> float:
+    """Links found of those that brute force finds, for the probes ``asked`` and a
+    bounded sample of nodes, against all nodes."""
+    sample = nodes.orderBy(F.xxhash64("node", F.lit(graph.seed + 1))).limit(graph.audit_rows).select("node", "dim", "embedding").unionByName(asked.select("node", "dim", "embedding")).toArrow()
     if not len(sample):
         return 1.0
     ids, dims = sample.column("node").to_numpy(), sample.column("dim").to_numpy()
@@ -340,16 +434,19 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, graph: Graph = Graph
     rows = stored(rows.select("id", F.when(F.col("good"), F.transform(v, lambda x: x + 0.0)).alias("embedding")).withColumn("node", F.when(v.isNotNull(), F.xxhash64("embedding"))), "vectors")
     nodes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("weight"), F.min("id").alias("least_id"), F.first("embedding").alias("embedding"))
     nodes = stored(nodes.withColumn("dim", F.size("embedding")), "vector-nodes")
+    asked = probes(nodes, least, graph)
     centroids = fit_centroids(nodes, graph)
-    overlap = graph.overlap
     most = max(map(len, centroids.values()), default=1)
+    overlap, searched = graph.overlap, nodes.drop("least_id").unionByName(asked)
     while True:
-        found = stored(_found(_sharded(nodes, centroids, graph, overlap), least, graph), "vector-links")
+        found = stored(_found(_sharded(searched, centroids, graph, overlap), least, graph), "vector-links")
         counts = stored(found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links")), "vector-counts")
-        recall = audit(nodes, counts, least, graph)
+        recall = audit(nodes, asked, counts, least, graph)
         if recall >= graph.target_recall or overlap >= most:
             break
-        overlap *= 2
+        overlap, graph = 2 * overlap, replace(graph, beam=2 * graph.beam)
+    if recall < graph.least_recall:
+        raise RuntimeError(f"a recall of {recall:.3f} with all shards searched; a larger beam or degree is needed")
     parts = connected_components(found.where("a is not null").select("a", "b"))
     named = nodes.select("node", "weight", "least_id").join(parts, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
     ids = named.groupBy("root").agg(F.min("least_id").alias("component"))

@@ -95,38 +95,16 @@ def give_back() -> None:
         pass
 
 
-class Remembered:
-    """What ``learn`` found for the keys met so far, in a bounded dictionary.
-
-    ``learn`` takes a list of new keys and returns their values. Of keys, about
-    the last ``most`` that were wanted are kept.
-    """
-
-    def __init__(self, learn, most: int):
-        self.learn, self.most = learn, most
-        self.known: dict = {}
-        self.older: dict = {}
-
-    def want(self, keys: set) -> dict:
-        """A dictionary that holds all of ``keys``; it is good until the next call."""
-        if len(self.known) > self.most // 2:  # keys not met again for a while are forgotten
-            self.known, self.older = {}, self.known
-        new = [k for k in keys if k not in self.known]  # a difference of sets would go through all known keys
-        self.known.update((k, self.older[k]) for k in new if k in self.older)
-        if rest := sorted(k for k in new if k not in self.known):
-            self.known.update(zip(rest, self.learn(rest), strict=True))
-        return self.known
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, salts: int = 4) -> DataFrame:
     """The smallest node reachable from each node: ``(node, component)``.
 
     ``edges`` has columns ``a`` and ``b`` of one orderable type; direction,
     repeats and self-loops don't matter, rows with a null are ignored. Nodes
     without an edge to another node aren't returned. Alternates large-star and
     small-star steps, each a partial aggregate and a join on the node, until
-    the edges no longer change; a node of any degree is spread by Spark's skew
-    join since its rows are never gathered. Every round is checkpointed, so a
+    the edges no longer change. A node's rows meet its minimum under ``salts``
+    keys, dealt by the other end, and on their own exchange, so a hub is spread
+    over tasks and Spark may split it further. Every round is checkpointed, so a
     lost executor costs one round at most.
 
     An empty input gives an empty result.
@@ -138,13 +116,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
         .checkpoint()
     )
+
+    def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+        """``rows`` with the minimum ``m`` of their ``a``."""
+        least = least.select("a", "m", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        return rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")).join(least, ["a", "salt"]).drop("salt")
+
     state = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = with_least(large, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = small.union(least.select("a", F.col("m").alias("b"))).distinct().checkpoint()
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:

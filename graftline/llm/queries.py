@@ -60,7 +60,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ann.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.9)
-    return found.rows.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return found.rows.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"), F.lit(found.recall).alias("recall"))
 
 
 def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
