@@ -4,18 +4,15 @@ Lines are normalised and hashed; for every host the distinct documents that
 hold a line are counted. A line in more documents than the limit is
 boilerplate: it is removed, and a document that keeps too little is rejected.
 
-Copies of one document share all their lines, which is duplication and not
-boilerplate. So a line counts as boilerplate only if the documents that hold it
-differ otherwise. A document's *rest* is the set of its lines that aren't above
-the limits; a document that holds nothing but lines above them has that set of
-lines for its rest. Documents of one host with one rest are copies and count once:
-a line is boilerplate if ``min_spread`` of its documents differ in their rests, or
-if so many do that the line is above the limits with copies counted once.
+Documents of one host with one text are one document: exact copies, of whatever
+ids, and repeated rows count once, in the lines' counts and in the host's.
 
 Defined results: a null text is an empty one; a null host is a host of its own;
-documents without words fail the base rules; repeated rows get the same result
-each and count as one document; other columns are left alone, whatever their
-names; an empty table gives an empty result.
+ids may be null and may repeat, they only name the result's rows; documents
+without words fail the base rules; lines of any length and texts of any number of
+lines are taken whole; a line that is exactly at a limit stays; rows with the same
+text and host get the same result each; other columns are left alone, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +29,11 @@ from .common import WORD, ascii_lower, let, stored, words
 class LineRules:
     """``min_docs`` and ``max_share``: a line is above the limit in a host if more
     distinct documents hold it than both ``min_docs`` and ``max_share`` of the
-    host's documents. ``min_spread``: see the module. A document is depleted if
-    it keeps under ``min_words`` words or under ``min_kept`` of its words."""
+    host's distinct documents. A document is depleted if it has lost lines and
+    keeps under ``min_words`` words or under ``min_kept`` of its words."""
 
     min_docs: int = 20
     max_share: float = 0.005
-    min_spread: float = 0.5
     min_words: int = 3
     min_kept: float = 0.1
 
@@ -112,63 +108,49 @@ def normal_line(line: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """Only the columns needed, with names of our own: repeated rows share a key."""
+    """Only the columns needed, with names of our own: equal texts share a key."""
     text = F.coalesce(docs[text_col], F.lit(""))
     return docs.select(docs[id_col].alias("doc"), docs[host_col].alias("host"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """A row for each line with a word: document, host, place, the hash of the
-    line's normal form, its words, and of the document's different lines the
-    number and the hashes' exclusive or."""
+    """``(host, text_hash, line, n)``: for each document, place and line with a word,
+    the hash of the line's normal form and its words."""
     keyed = _keyed(docs, id_col, text_col, host_col)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     n = lambda x: 1 + F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))  # noqa: E731  its words have one blank between them
     hashed = F.transform(F.transform(lines, normal_line), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("line"), n(x).alias("n")))
-    xor = lambda h: F.aggregate(h, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
-    of_all = lambda h: F.struct(F.size(h).alias("n_lines"), xor(h).alias("all_lines"))
-    both = let(hashed, lambda h: F.struct(h.alias("lines"), let(F.array_distinct(F.transform(h, lambda x: x["line"])), of_all).alias("all")))
-    rows = keyed.select("doc", "host", "text_hash", F.explode(let(both, lambda x: F.transform(x["lines"], lambda y: F.struct(y.alias("y"), x["all"].alias("all"))))).alias("x"))
-    return rows.select("doc", "host", "text_hash", "x.y.*", "x.all.*")
+    return keyed.select("host", "text_hash", F.inline(hashed))
 
 
 def host_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``(host, docs)``: the number of distinct documents of each host, those
-    without words or ids included."""
-    each = _keyed(docs, id_col, text_col, host_col).groupBy("host", "doc", "text_hash").agg(F.lit(1).alias("one"))
+    without words included."""
+    each = _keyed(docs, id_col, text_col, host_col).groupBy("host", "text_hash").agg(F.lit(1).alias("one"))
     return each.groupBy("host").agg(F.count("*").alias("docs"))
 
 
 def frequent_lines(lines: DataFrame, sizes: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """Lines that are boilerplate, from the rows of ``document_lines`` and
-    ``host_sizes``: ``(host, line)``. Counts are pre-aggregated in each task
-    before any shuffle."""
-    held = lines.select("host", "line", "doc", "text_hash", "n_lines", "all_lines").distinct()  # repeated rows and lines
+    """Lines above the limits, from the rows of ``document_lines`` and
+    ``host_sizes``: ``(host, line, n, docs)``. A line's documents are first told
+    apart by host, line and text, so one that very many documents hold is spread
+    over all tasks, and then counted with partial sums."""
+    held = lines.groupBy("host", "line", "text_hash").agg(F.lit(1).alias("one"))
     counts = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > rules.min_docs)
-    above = counts.join(sizes, counts.host.eqNullSafe(sizes.host)).where(F.col("n") > rules.max_share * F.col("docs"))
-    above = stored(above.select(counts.host.alias("h"), F.col("line").alias("l"), "n", "docs"), "lines-above-limits")
-    same = F.col("line").eqNullSafe(F.col("l")) & F.col("host").eqNullSafe(F.col("h"))
-    found = held.join(above.select("h", "l"), same, "left_semi").groupBy("host", "doc", "text_hash", "n_lines", "all_lines").agg(F.collect_set("line").alias("often"))
-    often = F.aggregate("often", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
-    only = F.size("often") == F.col("n_lines")
-    rests = found.select("host", F.explode("often").alias("line"), only.alias("only"), F.when(only, often).otherwise(F.col("all_lines").bitwiseXOR(often)).alias("rest"))
-    rests = rests.groupBy("host", "line", "only", "rest").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("rests"))
-    differ = F.col("rests")
-    spread = (differ >= rules.min_spread * F.col("n")) | ((differ > rules.min_docs) & (differ > rules.max_share * F.col("docs")))
-    return rests.join(above, same).where(spread).select("host", "line")
+    above = counts.join(sizes.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > rules.max_share * F.col("docs"))
+    return above.select("host", "line", "n", "docs")
 
 
 def removed_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Documents with lines above the limits: ``(doc, text_hash, removed_words,
+    """Documents with lines above the limits: ``(host, text_hash, removed_words,
     removed)``; ``removed`` holds the hashes of the lines to remove."""
     lines = stored(document_lines(docs, id_col, text_col, host_col), "lines")
-    often = stored(frequent_lines(lines, host_sizes(docs, id_col, text_col, host_col), rules), "frequent-lines")
-    rows = lines.drop("n_lines", "all_lines")
+    often = stored(frequent_lines(lines, host_sizes(docs, id_col, text_col, host_col), rules), "frequent-lines").select(F.col("host").alias("h"), F.col("line").alias("l"))
     return (
-        rows.join(often.withColumnsRenamed({"host": "h", "line": "l"}), F.col("line").eqNullSafe(F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
-        .select("doc", "text_hash", "line", "at", "n")
-        .distinct()
-        .groupBy("doc", "text_hash")
+        lines.join(often, F.col("line").eqNullSafe(F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
+        .groupBy("host", "text_hash", "at", "line", "n")  # copies and repeated rows
+        .agg(F.lit(1).alias("one"))
+        .groupBy("host", "text_hash")
         .agg(F.sum("n").alias("removed_words"), F.collect_set("line").alias("removed"))
     )
 
@@ -182,9 +164,10 @@ def depleted(n_words: Column, removed_words: Column, rules: LineRules) -> Column
 def judge(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: ``doc``, the base measures, ``base_failed``,
     ``removed_words`` and ``kept``."""
-    m = _keyed(docs, id_col, text_col, host_col).select("doc", "text_hash", base_measures(F.col("text")).alias("m"))
+    m = _keyed(docs, id_col, text_col, host_col).select("doc", "host", "text_hash", base_measures(F.col("text")).alias("m"))
     m = m.select(
         "doc",
+        "host",
         "text_hash",
         F.col("m.w.n_words").alias("n_words"),
         F.col("m.w.word_chars").alias("word_chars"),
@@ -192,8 +175,8 @@ def judge(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id
         F.col("m.n_dup_lines").alias("n_dup_lines"),
         F.col("m.w.n_repeat_words").alias("n_repeat_words"),
     )
-    gone = removed_lines(docs, rules, id_col, text_col, host_col).select(F.col("doc").alias("d"), F.col("text_hash").alias("t"), "removed_words")
-    judged = m.join(gone, m.doc.eqNullSafe(F.col("d")) & (m.text_hash == F.col("t")), "left")
+    gone = removed_lines(docs, rules, id_col, text_col, host_col).select(F.col("host").alias("h"), F.col("text_hash").alias("t"), "removed_words")
+    judged = m.join(gone, m.host.eqNullSafe(F.col("h")) & (m.text_hash == F.col("t")), "left")
     removed = F.coalesce("removed_words", F.lit(0).cast("long"))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return judged.select(
@@ -208,9 +191,9 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id
     """The documents that pass, with every column of ``docs``: lines above the
     limits are removed from their texts, other texts are as they were."""
     gone = removed_lines(docs, rules, id_col, text_col, host_col)
-    gone = gone.select(F.struct(F.col("doc").alias("d"), F.col("text_hash").alias("t")).alias("_key"), F.struct("removed_words", "removed").alias("_gone"))
+    gone = gone.select(F.struct(F.col("host").alias("h"), F.col("text_hash").alias("t")).alias("_key"), F.struct("removed_words", "removed").alias("_gone"))
     text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), text.alias("_text"), F.struct(docs[id_col].alias("d"), F.xxhash64(text).alias("t")).alias("_key"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), text.alias("_text"), F.struct(docs[host_col].alias("h"), F.xxhash64(text).alias("t")).alias("_key"))
     ws = let(words(F.col("_text")), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("r")))
     rows = rows.withColumn("_w", ws).where(~base_failed(F.col("_w.n"), F.col("_w.r")))
     rows = rows.join(gone.withColumnRenamed("_key", "_gone_key"), F.col("_key").eqNullSafe(F.col("_gone_key")), "left")
