@@ -55,21 +55,8 @@ def _step(action: str, given: list[str]):
     }[action](*given)
 
 
-def _schema(value) -> str:
-    """A root array is a batch."""
-    from .operators.schema import merged
-
-    batch = value if isinstance(value, list) and not isinstance(value, jsontext.Members) else [value]
-    state = None
-    for v in batch:
-        node = values.analyse(v)
-        state = node if state is None else merged(state, node)
-    return "{\n}" if state is None else jsontext.dump(values.draft(state), True)
-
-
 def _on_lines(args, action: str, given: list[str]) -> str | None:
     from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
 
     from .operators import schema
     from .sources import files
@@ -78,13 +65,14 @@ def _on_lines(args, action: str, given: list[str]) -> str | None:
     spark = SparkSession.builder.master(f"local[{threads or '*'}]").getOrCreate()
     df = files.line_files(spark, args.input)
     if action == "schema":
-        df = df.withColumn("position", F.monotonically_increasing_id()).persist()
-        return schema.batch_schema(df, "json", "position", pretty=True)
+        return schema.batch_schema(files.numbered_lines(spark, args.input), "json", "position", pretty=True)
     out = df.select(columns.pipeline("json", [_step(action, given)]).alias("json"))
     if args.output:
         files.write_lines(out, args.output)
         return None
-    return "\n".join(r[0] for r in out.toLocalIterator())
+    for row in out.toLocalIterator():  # as it comes, a partition at a time
+        print(row[0])
+    return None
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -100,7 +88,7 @@ def main(argv: list[str] | None = None) -> int:
             with source:
                 value = jsontext.parse(source.read())
             pretty = args.pretty or action in ("flatten", "paths")
-            text = _schema(value) if action == "schema" else jsontext.dump(_step(action, given)(value), pretty)
+            text = jsontext.dump(values.schema_of(value), True) if action == "schema" else jsontext.dump(_step(action, given)(value), pretty)
     except (OSError, ValueError) as e:
         print(f"graftline: {e}", file=sys.stderr)
         return 1

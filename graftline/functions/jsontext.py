@@ -23,7 +23,12 @@ sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))  # a few frames for
 
 
 class Invalid(ValueError):
-    """The text is not JSON of the accepted dialect."""
+    """The text is not JSON of the accepted dialect; ``at`` is the place of the
+    first character that doesn't fit."""
+
+    def __init__(self, what: str, at: int = 0):
+        super().__init__(f"{what} at {at}")
+        self.at = at
 
 
 class Members(list):
@@ -42,9 +47,16 @@ _escapes = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", '"': '"', "\\
 _out = {i: f"\\u{i:04x}" for i in range(32)} | {8: "\\b", 12: "\\f", 10: "\\n", 13: "\\r", 9: "\\t", 34: '\\"', 92: "\\\\"}
 
 
-def parse(text: str):
-    """The value that ``text`` starts with."""
+def parse(text: str, strict: bool = False):
+    """The value that ``text`` starts with; with ``strict`` nothing but white space
+    may follow it."""
     text = text.partition("\0")[0]
+    if strict:
+        mark = int(text.startswith("\ufeff") and len(text) > 1)
+        value, end = _value(text, _space.match(text, mark).end(), 0)
+        if (end := _space.match(text, end).end()) < len(text):
+            raise Invalid("text after the value", end)
+        return value
     if text.startswith("﻿") and len(text) > 1:
         text = text[1:]
     at = _space.match(text).end()
@@ -67,12 +79,12 @@ def _value(s: str, at: int, depth: int):
     if c and c in "-0123456789":
         m = _number.match(s, at)
         if not m:
-            raise Invalid(f"number at {at}")
+            raise Invalid("number", at)
         return float(m[0]), m.end()
     if c not in ("[", "{") or not c:
-        raise Invalid(f"value at {at}")
+        raise Invalid("value", at)
     if depth >= NESTING_LIMIT:
-        raise Invalid("nesting")
+        raise Invalid("nesting", at)
     close, out = ("]", []) if c == "[" else ("}", Members())
     at = _space.match(s, at + 1).end()
     if s.startswith(close, at):
@@ -80,11 +92,11 @@ def _value(s: str, at: int, depth: int):
     while True:
         if c == "{":
             if not s.startswith('"', at):
-                raise Invalid(f"name at {at}")
+                raise Invalid("name", min(at + 1, len(s)))
             name, at = _string(s, at)
             at = _space.match(s, at).end()
             if not s.startswith(":", at):
-                raise Invalid(f"colon at {at}")
+                raise Invalid("colon", at)
             at = _space.match(s, at + 1).end()
         value, at = _value(s, at, depth + 1)
         out.append((name, value) if c == "{" else value)
@@ -92,14 +104,14 @@ def _value(s: str, at: int, depth: int):
         if s.startswith(close, at):
             return out, at + 1
         if not s.startswith(",", at):
-            raise Invalid(f"comma at {at}")
+            raise Invalid("comma", at)
         at = _space.match(s, at + 1).end()
 
 
-def _unit(s: str, at: int) -> int:
+def _unit(s: str, at: int, escape: int) -> int:
     digits = s[at : at + 4]
     if len(digits) < 4:
-        raise Invalid("escape")
+        raise Invalid("escape", escape)
     try:
         return int(digits, 16) if digits.isalnum() else 0
     except ValueError:
@@ -108,6 +120,7 @@ def _unit(s: str, at: int) -> int:
 
 def _string(s: str, at: int) -> tuple[str, int]:
     parts, at = [], at + 1
+    first = at
     while True:
         m = _plain.match(s, at)
         parts.append(m[0])
@@ -117,23 +130,24 @@ def _string(s: str, at: int) -> tuple[str, int]:
             return "".join(parts).partition("\0")[0], at + 1
         e = s[at + 1 : at + 2]
         if not c or not e:
-            raise Invalid("string without end")
+            raise Invalid("string without end", first)
+        escape = at
         at += 2
         if e == "u":
-            code = _unit(s, at)
+            code = _unit(s, at, escape)
             at += 4
             if 0xDC00 <= code <= 0xDFFF:
-                raise Invalid("low surrogate")
+                raise Invalid("low surrogate", escape)
             if 0xD800 <= code <= 0xDBFF:
-                low = _unit(s, at + 2) if s.startswith("\\u", at) else 0
+                low = _unit(s, at + 2, escape) if s.startswith("\\u", at) else 0
                 if not 0xDC00 <= low <= 0xDFFF:
-                    raise Invalid("high surrogate")
+                    raise Invalid("high surrogate", escape)
                 code, at = 0x10000 + ((code & 0x3FF) << 10 | low & 0x3FF), at + 6
             parts.append(chr(code))
         elif e in _escapes:
             parts.append(_escapes[e])
         else:
-            raise Invalid(f"escape at {at}")
+            raise Invalid("escape", escape)
 
 
 def is_int32(number: float) -> bool:

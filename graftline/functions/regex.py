@@ -7,6 +7,7 @@ character, newlines included.
 
 from __future__ import annotations
 
+import functools
 import re
 
 # The classes of the POSIX locale
@@ -124,5 +125,6 @@ def java(pattern: str) -> str:
     return translate(pattern, r"\z")
 
 
+@functools.lru_cache(maxsize=1024)
 def compiled(pattern: str) -> re.Pattern:
     return re.compile(translate(pattern))

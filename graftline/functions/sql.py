@@ -9,7 +9,10 @@ from . import columns, jsontext, regex, values
 
 
 def register(spark: SparkSession, prefix: str = "json_") -> list[str]:
-    """Register ``json_flatten(text)`` and the others; a text that isn't JSON gives null."""
+    """Register ``json_flatten(text)`` and the others; a text that isn't JSON gives null.
+
+    ``json_leaves`` gives an array of structs, for ``inline``:
+    ``select id, inline(json_leaves(doc)) from docs``."""
     import pyarrow as pa
 
     def of(step):
@@ -35,7 +38,7 @@ def register(spark: SparkSession, prefix: str = "json_") -> list[str]:
     one_text = {
         "flatten": values.flatten,
         "paths": values.paths,
-        "schema": lambda v: values.draft(values.analyse(v)),
+        "schema": values.schema_of,
         "remove_empty_strings": columns.remove_empty_strings_step(),
         "remove_nulls": columns.remove_nulls_step(),
         "compact": lambda v: v,
@@ -52,12 +55,13 @@ def register(spark: SparkSession, prefix: str = "json_") -> list[str]:
     for name, step in with_two.items():
         spark.udf.register(prefix + name, arrow(of(step), 3))
 
-    @F.udtf(returnType="ord: int, path: string, type: string, value: string")
-    class Leaves:
-        def eval(self, text: str):
-            if text is not None:
-                for i, (path, v) in enumerate(values.leaves(jsontext.parse(text))):
-                    yield i, path, values.kind(v), None if v is None else v if isinstance(v, str) else jsontext.scalar_text(v)
+    def leaves(text):
+        try:
+            return None if text is None else columns.leaf_list(jsontext.parse(text))
+        except jsontext.Invalid:
+            return None
 
-    spark.udtf.register(prefix + "leaves", Leaves)
-    return [prefix + n for n in (*one_text, *with_two, "leaves")]
+    kind = columns._arrow(columns.LEAVES)
+    spark.udf.register(prefix + "leaves", F.arrow_udf(lambda a: pa.array([leaves(x) for x in a.to_pylist()], kind), columns.LEAVES))
+    spark.udf.register(prefix + "valid", F.arrow_udf(lambda a: pa.array([None if x is None else leaves(x) is not None for x in a.to_pylist()], pa.bool_()), "boolean"))
+    return [prefix + n for n in (*one_text, *with_two, "leaves", "valid")]

@@ -20,26 +20,32 @@ def path_rows(df: DataFrame, json_col: str, ids: list[str], on_error: str = "fai
     return flatten_rows(df, json_col, ids, on_error, empty_objects=True).drop("value")
 
 
-def flat_object_rows(df: DataFrame, json_col: str, ids: list[str]) -> DataFrame:
-    """``flatten_rows`` for objects of scalars only, without Python: one level of
-    members in document order, repeated names kept. Nested members stay text."""
-    texts = F.map_entries(F.from_json(df[json_col], T.MapType(T.StringType(), T.StringType())))
-    kinds = F.map_entries(F.from_json(df[json_col], T.MapType(T.StringType(), T.VariantType())))
-    rows = df.select(*[df[c] for c in ids], F.posexplode(F.arrays_zip(texts.alias("t"), kinds.alias("v"))).alias("ord", "x"))
-    base = F.regexp_extract(F.schema_of_variant("x.v.value"), "^[A-Z]+", 0)
-    number = F.expr("try_variant_get(x.v.value, '$', 'double')")
-    whole = (number == F.floor(number)) & number.between(-2147483648, 2147483647)
-    kind = (
-        F.when(F.is_variant_null("x.v.value"), "null")
-        .when(base == "STRING", "string")
-        .when(base == "BOOLEAN", "boolean")
-        .when(base == "OBJECT", "object")
-        .when(base == "ARRAY", "array")
-        .when(whole, "integer")
-        .otherwise("number")
-    )
-    value = F.when(kind == "integer", number.cast("bigint").cast("string")).otherwise(F.col("x.t.value"))
-    return rows.select(*ids, "ord", F.col("x.t.key").alias("path"), kind.alias("type"), F.when(kind != "null", value).alias("value"))
+#: A member of a plain object: no escapes, numbers that print as they stand.
+_NAME = r'"([^"\\\x00-\x1F]*+)"'
+_SCALAR = r'("[^"\\\x00-\x1F]*+"|true|false|null|0(?![0-9.eE+-])|-?[1-9][0-9]{0,8}+(?![0-9.eE+-])|-?(?:0|[1-9][0-9]{0,8}+)\.[0-9]{0,3}[1-9](?![0-9.eE+-]))'
+_MEMBER = _NAME + r"[ \t\r\n]*+:[ \t\r\n]*+" + _SCALAR
+_PLAIN = r"^[ \t\r\n]*+\{[ \t\r\n]*+(?:" + _MEMBER + r"[ \t\r\n]*+(?:,[ \t\r\n]*+(?=\")|(?=\})))*+\}[ \t\r\n]*+\z"
+
+
+def flat_object_rows(df: DataFrame, json_col: str, ids: list[str], on_error: str = "fail") -> DataFrame:
+    """``flatten_rows``, without Python for plain documents: objects of scalars with
+    no escapes in strings and numbers of up to nine digits and four decimals. Other
+    documents go through ``flatten_rows``, so both give the same rows."""
+    text = df[json_col]
+    plain = F.coalesce(text.rlike(_PLAIN), F.lit(False))
+    found = df.where(plain).select(*[df[c] for c in ids], F.posexplode(F.regexp_extract_all(text, F.lit(f"({_MEMBER})"), F.lit(1))).alias("ord", "_member"))
+    found = found.select(*ids, "ord", F.regexp_extract("_member", _MEMBER, 1).alias("path"), F.regexp_extract("_member", _MEMBER, 2).alias("_raw"))
+    first = F.substring("_raw", 1, 1)
+    kind = F.when(first == '"', "string").when(first.isin("t", "f"), "boolean").when(first == "n", "null").when(F.col("_raw").contains("."), "number").otherwise("integer")
+    value = F.when(first == '"', F.expr("substring(_raw, 2, length(_raw) - 2)")).when(first != "n", F.col("_raw"))
+    native = found.select(*ids, "ord", "path", kind.alias("type"), value.alias("value"))
+    return native.unionByName(flatten_rows(df.where(~plain), json_col, ids, on_error))
+
+
+def bad_documents(df: DataFrame, json_col: str, ids: list[str], strict: bool = False) -> DataFrame:
+    """``(ids..., place)`` of the texts that aren't JSON, ``place`` being the byte
+    where they stop being so."""
+    return df.select(*[df[c] for c in ids], columns.error_place(df[json_col], strict).alias("place")).where("place is not null")
 
 
 def replace_paths(rows: DataFrame, pattern: str, replacement: str) -> DataFrame:

@@ -47,30 +47,40 @@ def _joined(kinds: list[str]) -> str:
     return out
 
 
-def merge(df: DataFrame, json_col: str, order_by: str, on_error: str = "fail") -> values.Node | None:
+def merge(df: DataFrame, json_col: str, order_by: str, on_error: str = "fail", max_paths: int = 200_000) -> values.Node | None:
     """The merged schema of ``df`` in the order of ``order_by``, whole numbers
-    that are unique; None for no documents. Rows whose text is null are left out."""
+    that are unique; None for no documents. Rows whose text is null are left out.
+
+    A schema has a node for each path, and so has the driver's memory; documents
+    with over ``max_paths`` different paths, such as those that use ids as names,
+    are an error, found by a count before any level is merged."""
     rows = _kept(schema_rows(df.where(df[json_col].isNotNull()), json_col, order_by, on_error), "schema")
     spark = df.sparkSession
     top = rows.where("path = ''").agg(F.min("ord"), F.count("*"), F.collect_set("kind"), F.bool_or("nullable")).first()
     if not top[1]:
         return None
+    if (paths := rows.select("path").distinct().limit(max_paths + 1).count()) > max_paths:
+        raise ValueError(f"documents have over {paths - 1} different paths; replace keys that hold data first, or raise max_paths")
     kind = _joined(sorted(top[2]))
     root = values.Node(kind, top[3] or (top[1] > 1 and "null" in top[2]))
     scopes = {"": _Scope(top[0], True, root)}
     while scopes:
         table = spark.createDataFrame([(p, s.start, s.whole, s.merged.kind) for p, s in scopes.items()], "parent string, start long, whole boolean, of string")
         # The parents' own rows in scope, for the properties that each lacks.
-        own = rows.join(F.broadcast(table), (F.col("path") == F.col("parent")) & ((F.col("ord") > F.col("start")) | (F.col("whole") & (F.col("ord") == F.col("start")))))
+        own = rows.join(table, (F.col("path") == F.col("parent")) & ((F.col("ord") > F.col("start")) | (F.col("whole") & (F.col("ord") == F.col("start")))))
         above = F.regexp_replace("path", r"(?s)(/[^/*]*|\*)$", "")
-        below = rows.where("path <> ''").withColumn("above", above).join(F.broadcast(table), (F.col("above") == F.col("parent")) & ((F.col("ord") > F.col("start")) | (F.col("whole") & (F.col("ord") == F.col("start")))))
+        below = rows.where("path <> ''").withColumn("above", above).join(table, (F.col("above") == F.col("parent")) & ((F.col("ord") > F.col("start")) | (F.col("whole") & (F.col("ord") == F.col("start")))))
         found = (
             below.groupBy("parent", "path")
             .agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.collect_set("kind").alias("kinds"), F.bool_or("nullable").alias("nullable"), F.bool_and("required").alias("required"))
             .collect()
         )
-        names = spark.createDataFrame([(p, [r["path"][len(p) :] for r in found if r["parent"] == p and not r["path"].endswith("*")]) for p in scopes], "parent2 string, known array<string>")
-        lacking = own.join(F.broadcast(names), F.col("parent") == F.col("parent2")).select("parent", "ord", F.explode(F.array_except("known", "names")).alias("step"))
+        steps: dict[str, list[str]] = {p: [] for p in scopes}
+        for r in found:
+            if not r["path"].endswith("*"):
+                steps[r["parent"]].append(r["path"][len(r["parent"]) :])
+        names = spark.createDataFrame(list(steps.items()), "parent2 string, known array<string>")
+        lacking = own.join(names, F.col("parent") == F.col("parent2")).select("parent", "ord", F.explode(F.array_except("known", "names")).alias("step"))
         last = {(r[0], r[0] + r[1]): r[2] for r in lacking.groupBy("parent", "step").agg(F.max("ord")).collect()}
         scopes_below: dict[str, _Scope] = {}
         for r in sorted(found, key=lambda r: r["path"]):
@@ -142,22 +152,11 @@ def grouped_schemas(df: DataFrame, by: list[str], json_col: str, order_by: str)
         for text in table.sort_by("_ord").column("_json").to_pylist():
             if text is not None:
                 node = values.analyse(jsontext.parse(text))
-                state = node if state is None else merged(state, node)
+                state = node if state is None else values.merged(state, node)
         text = "{}" if state is None else jsontext.dump(values.draft(state))
         return pa.table({**{c: table.column(c).slice(0, 1) for c in by}, "schema": [text]})
 
     return rows.groupBy(*by).applyInArrow(fold, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", schema string")
 
 
-def merged(a: values.Node, b: values.Node) -> values.Node:
-    """Two schemas as one, the first being that of the documents before."""
-    out = values.Node(values.joined(a.kind, b.kind), a.nullable or b.nullable or "null" in (a.kind, b.kind))
-    if out.kind == "array":
-        one = a.items or b.items
-        out.items = merged(a.items, b.items) if a.items and b.items else one and values.Node(one.kind, one.nullable)
-    if out.kind == "object":
-        other = {n: (must, s) for n, must, s in b.members or ()}
-        mine = {n for n, _, _ in a.members or ()}
-        out.members = [(n, must and other[n][0], merged(s, other[n][1])) if n in other else (n, False, values.Node(s.kind, True)) for n, must, s in a.members or ()]
-        out.members += [(n, False, values.Node(s.kind, True)) for n, _, s in b.members or () if n not in mine]
-    return out
+merged = values.merged

@@ -60,7 +60,8 @@ def flatten_order_docs(spark, sf_dir):
 
 
 def flatten_order_text(spark, sf_dir):
-    return order_docs(spark, sf_dir).select("okey", F.length(columns.flatten("json")).cast("long").alias("chars"), F.md5(columns.flatten("json")).alias("digest"))
+    flat = order_docs(spark, sf_dir).select("okey", columns.flatten("json").alias("flat"))
+    return flat.select("okey", F.length("flat").cast("long").alias("chars"), F.md5("flat").alias("digest"))
 
 
 def paths_types_customer(spark, sf_dir):
@@ -120,8 +121,8 @@ def replace_on_rows(spark, sf_dir):
 
 def fused_pipeline(spark, sf_dir):
     steps = [columns.remove_nulls_step(), columns.remove_empty_strings_step(), columns.replace_keys_step("^priority$", "urgency"), columns.flatten_step()]
-    docs = order_docs(spark, sf_dir, dirty=True).select("okey", columns.pipeline("json", steps).alias("json"))
-    return docs.select("okey", columns.size("json").cast("long").alias("members"), columns.has("json", "urgency").alias("has_urgency"), columns.has("json", "status").alias("has_status"))
+    found = columns.extract("json", steps, members=columns.size_at(), has_urgency=columns.has_at("urgency"), has_status=columns.has_at("status"))
+    return order_docs(spark, sf_dir, dirty=True).select("okey", found.alias("x")).select("okey", "x.*")
 
 
 def schema_orders(spark, sf_dir):
@@ -143,17 +144,16 @@ def schema_by_group(spark, sf_dir):
 
 
 def members_of_orders(spark, sf_dir):
-    j = F.col("json")
-    docs = order_docs(spark, sf_dir, dirty=True)
-    return docs.select(
-        "okey",
-        columns.size(columns.get(j, "lines")).cast("long").alias("n_lines"),
-        columns.string_value(columns.get(j, "STATUS")).alias("status"),
-        columns.number_value(columns.get(columns.get(columns.get(j, "lines"), 0), "qty")).alias("first_qty"),
-        columns.kind(columns.get(j, "status")).alias("status_kind"),
-        columns.has(j, "Status", case_sensitive=True).alias("has_exact"),
-        columns.is_valid(j).alias("valid"),
+    found = columns.extract(
+        "json",
+        n_lines=columns.size_at("lines"),
+        status=columns.string_at("STATUS"),
+        first_qty=columns.number_at("lines", 0, "qty"),
+        status_kind=columns.kind_at("status"),
+        has_exact=columns.has_at("Status", case_sensitive=True),
+        on_error="null",
     )
+    return order_docs(spark, sf_dir, dirty=True).select("okey", found.alias("x")).select("okey", "x.*", F.col("x").isNotNull().alias("valid"))
 
 
 def edited_orders(spark, sf_dir):
@@ -172,7 +172,79 @@ def compared_orders(spark, sf_dir):
 def sql_functions(spark, sf_dir):
     sql.register(spark)
     order_docs(spark, sf_dir, dirty=True).createOrReplaceTempView("graftline_orders")
-    return spark.sql("select okey, path, type, value from graftline_orders, lateral json_leaves(json_remove_nulls(json)) where path not like 'lines%'")
+    return spark.sql("select okey, l.path, l.type, l.value from graftline_orders lateral view inline(json_leaves(json_remove_nulls(json))) l where l.path not like 'lines%'")
+
+
+def sql_functions_on_bad_text(spark, sf_dir):
+    """Texts that aren't JSON have no leaves."""
+    sql.register(spark)
+    _broken(spark, sf_dir).createOrReplaceTempView("graftline_broken")
+    return spark.sql("select okey, l.path, l.type, l.value from graftline_broken lateral view inline(json_leaves(json)) l where json_valid(json)")
+
+
+def _broken(spark, sf_dir):
+    """Orders as documents: of four, one has no colon, one has text after it, one ends within a string."""
+    o = _table(spark, sf_dir, "orders")
+    whole = F.to_json(F.struct(F.col("o_orderkey").alias("okey"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")))
+    case = F.col("o_orderkey") % 4
+    json = F.when(case == 1, F.replace(whole, F.lit('"priority":'), F.lit('"priority" '))).when(case == 2, F.concat(whole, F.lit(" x"))).when(case == 3, F.regexp_extract(whole, '^.*"status":"', 0)).otherwise(whole)
+    return o.select(F.col("o_orderkey").alias("okey"), json.alias("json"))
+
+
+def error_places(spark, sf_dir):
+    """Where texts stop being JSON, for the dialect that ignores what follows a document and for the strict one."""
+    return _broken(spark, sf_dir).select("okey", columns.error_place("json").alias("place"), columns.error_place("json", strict=True).alias("strict_place"), columns.is_valid("json", strict=True).alias("valid"))
+
+
+def bad_documents(spark, sf_dir):
+    return rows.bad_documents(_broken(spark, sf_dir), "json", ["okey"], strict=True)
+
+
+def put_from_column(spark, sf_dir):
+    """Members added, items inserted and members replaced, with values of another column."""
+    name = F.concat(F.lit('"'), F.col("c_name"), F.lit('"'))
+    docs = _table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), F.lit('{"a":1,"list":[1,2]}').alias("json"))
+    listed = columns.put(columns.get("json", "list"), 1, F.col("name"), "insert")
+    return docs.select("c_custkey", columns.put("json", "name", F.col("name")).alias("added"), columns.put("json", "A", F.col("name"), "replace").alias("replaced"), listed.alias("inserted"))
+
+
+def minified_documents(spark, sf_dir):
+    """Documents with strings of many thousand characters, and with comments."""
+    string = F.repeat(F.lit('x\\"y // z '), 2000)
+    spaced = F.concat(F.lit('{ "a" : /* b */ "'), string, F.lit('" , // c\n\t"b" : [ '), F.col("c_custkey"), F.lit(" ] }"))
+    docs = _table(spark, sf_dir, "customer").select("c_custkey", columns.minify(spaced).alias("m"))
+    return docs.select("c_custkey", F.length("m").cast("long").alias("chars"), F.md5("m").alias("digest"))
+
+
+_NUMBERS = {"1e20": "1e+20", "1e400": None, "0.1": "0.1", "-0": "0", "1.50": "1.5", "92.0": "92", "123456.7": "123456.7", "2147483648": "2147483648", "0.00001": "1e-05", "-17": "-17", "0.30000000000000004": "0.3"}
+
+
+def native_numbers(spark, sf_dir):
+    """Rows of flat objects, with numbers of every kind."""
+    texts = F.array(*[F.lit(x) for x in _NUMBERS])
+    json = F.concat(F.lit('{"n": '), F.get(texts, (F.col("c_custkey") % len(_NUMBERS)).cast("int")), F.lit(', "s": "'), F.col("c_name"), F.lit('", "z":null, "t":true}'))
+    return rows.flat_object_rows(_table(spark, sf_dir, "customer").select("c_custkey", json.alias("json")), "json", ["c_custkey"])
+
+
+def schema_of_arrays(spark, sf_dir):
+    """A document that is an array is a batch."""
+    json = F.when(F.col("c_custkey") % 2 == 0, "[]").otherwise(F.concat(F.lit('[{"a":'), F.col("c_custkey"), F.lit('},{"a":2.5,"b":null}]')))
+    found = _table(spark, sf_dir, "customer").select(columns.schema_of(json, pretty=False).alias("schema"))
+    return found.groupBy("schema").agg(F.count("*").alias("n"))
+
+
+def schema_with_gaps(spark, sf_dir):
+    """Every seventh document lacks a property, whose inner structure starts anew there."""
+    json = F.when(F.col("c_custkey") % 7 == 0, "{}").otherwise(F.concat(F.lit('{"p":{"q":'), F.col("c_custkey"), F.lit("}}")))
+    node = schema.merge(_table(spark, sf_dir, "customer").select("c_custkey", json.alias("json")), "json", "c_custkey")
+    return spark.createDataFrame(schema.listed(node), "path string, type string, nullable boolean, required boolean")
+
+
+def schema_types_by_group(spark, sf_dir):
+    docs = order_docs(spark, sf_dir, dirty=True)
+    keyed = docs.join(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("okey"), F.col("o_custkey").alias("cust")), "okey")
+    found = schema.grouped_schemas(keyed, ["cust"], "json", "okey")
+    return found.select("cust", F.get_json_object("schema", "$.properties.status.type").alias("status"), F.get_json_object("schema", "$.required").alias("required"))
 
 
 def rows_lifted(spark, sf_dir):
@@ -193,6 +265,7 @@ QUERIES = {
         flatten_then_agg, flatten_conversations, flatten_typed, rebuild_flat_documents, remove_nulls_orders, remove_empty_orders,
         replace_keys_orders, replace_values_orders, replace_on_rows, fused_pipeline, schema_orders, schema_single, schema_by_group,
         members_of_orders, edited_orders, compared_orders, sql_functions, rows_lifted, path_statistics,
+        sql_functions_on_bad_text, error_places, bad_documents, put_from_column, minified_documents, native_numbers, schema_of_arrays, schema_with_gaps, schema_types_by_group,
     )
 }
 
@@ -219,6 +292,10 @@ _CUSTOMER = "c as (select c_custkey, c_name, n_nationkey, n_name, r_regionkey, r
 _PATHS = "(values (0, 'ckey', 'integer'), (1, 'name', 'string'), (2, 'nation.key', 'integer'), (3, 'nation.name', 'string'), (4, 'nation.region.key', 'integer'), (5, 'nation.region.name', 'string')) as p(ord, path, type)"
 _EVENTS = "select event_id, 0 as ord, 'k' as path, 'integer' as type, json_extract_string(props, '$.k') as value from events"
 
+_PLACES = """p as (select o_orderkey as okey, length('{"okey":' || o_orderkey || ',"status":"') as string, length('{"okey":' || o_orderkey || ',"status":"' || o_orderstatus || '","priority" ') as colon,
+        length('{"okey":' || o_orderkey || ',"status":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"} ') as rest,
+        case o_orderkey % 4 when 1 then colon when 3 then string end as place, case o_orderkey % 4 when 2 then rest else place end as strict_place from orders)"""
+
 ORACLES = {
     "flatten_events_props": _EVENTS,
     "flatten_events_exact": _EVENTS,
@@ -258,4 +335,25 @@ ORACLES = {
     "rows_lifted": """select n_nationkey, 0 as ord, 'n_nationkey' as path, 'integer' as type, n_nationkey::varchar as value from nation
         union all select n_nationkey, 1, 'n_name', 'string', n_name from nation union all select n_nationkey, 2, 'n_regionkey', 'integer', n_regionkey::varchar from nation""",
     "path_statistics": f"with {_CUSTOMER} select path, type, count(*) as n from c cross join {_PATHS} group by 1, 2",
+    "schema_single": f"""with {_DIRTY}, {_LINES}, f as (select okey, case when qty = floor(qty) then 'integer' else 'number' end as qty from l where i = 0)
+        select '{{"$schema":"http://json-schema.org/draft-07/schema#","type":"object","properties":{{"okey":{{"type":"integer"}},"status":{{"type":' || case when status is null then '["null","null"]' else '"string"' end
+            || '}},"priority":{{"type":"string"}},"lines":{{"type":"array","items":{{"type":"object","properties":{{"ln":{{"type":"integer"}},"qty":{{"type":"' || qty || '"}},"flag":{{"type":"string"}}}},"required":["ln","qty","flag"]}}}}}},"required":["okey",'
+            || case when status is null then '' else '"status",' end || '"priority","lines"]}}' as schema, count(*) as n
+        from o join f using (okey) group by 1""",
+    "sql_functions_on_bad_text": """with o as (select * from orders where o_orderkey % 4 in (0, 2))
+        select o_orderkey as okey, 'okey' as path, 'integer' as type, o_orderkey::varchar as value from o
+        union all select o_orderkey, 'status', 'string', o_orderstatus from o union all select o_orderkey, 'priority', 'string', o_orderpriority from o""",
+    "error_places": f"""with {_PLACES} select okey, place, strict_place, strict_place is null as valid from p""",
+    "bad_documents": f"""with {_PLACES} select okey, strict_place as place from p where strict_place is not null""",
+    "put_from_column": """select c_custkey, '{"a":1,"list":[1,2],"name":"' || c_name || '"}' as added, '{"a":"' || c_name || '","list":[1,2]}' as replaced, '[1,"' || c_name || '",2]' as inserted from customer""",
+    "minified_documents": """with m as (select c_custkey, '{"a":"' || repeat('x\\"y // z ', 2000) || '","b":[' || c_custkey || ']}' as m from customer) select c_custkey, length(m)::bigint as chars, md5(m) as digest from m""",
+    "native_numbers": f"""with n as (select * from (values {", ".join(f"({i}, {'null' if v is None else chr(39) + v + chr(39)}, '{'integer' if v is not None and v.lstrip('-').isdigit() and abs(int(v)) < 2**31 else 'number'}')" for i, v in enumerate(_NUMBERS.values()))}) as v(i, value, type))
+        select c_custkey, 0 as ord, 'n' as path, type, coalesce(value, 'null') as value from customer join n on i = c_custkey % {len(_NUMBERS)}
+        union all select c_custkey, 1, 's', 'string', c_name from customer union all select c_custkey, 2, 'z', 'null', null from customer union all select c_custkey, 3, 't', 'boolean', 'true' from customer""",
+    "schema_of_arrays": """select case when c_custkey % 2 = 0 then '{}' else '{"$schema":"http://json-schema.org/draft-07/schema#","type":"object","properties":{"a":{"type":"number"},"b":{"type":["null","null"]}},"required":["a"]}' end as schema, count(*) as n from customer group by 1""",
+    "schema_with_gaps": """select '' as path, 'object' as type, false as nullable, true as required union all select 'p', 'object', true, false
+        union all select 'p.q', 'integer', true, false from customer having max(c_custkey) > max(case when c_custkey % 7 = 0 then c_custkey end)""",
+    "schema_types_by_group": """select o_custkey as cust, case when bool_and(o_orderstatus = 'F') then '["null","null"]' when bool_or(o_orderstatus = 'F') then '["string","number","integer","boolean","object","array","null"]' else 'string' end as status,
+        case when bool_or(o_orderstatus = 'F') then '["okey","priority","lines"]' else '["okey","status","priority","lines"]' end as required
+        from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey) group by 1""",
 }

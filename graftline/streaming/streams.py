@@ -6,8 +6,10 @@ are. The schema of a stream grows with its batches.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,23 +29,42 @@ def path_counts(rows: DataFrame, time_col: str, window: str = "5 minutes", late:
 
 
 class RunningSchema:
-    """The merged schema of all batches so far."""
+    """The merged schema of all batches so far.
 
-    def __init__(self, json_col: str, order_by: str, seen: Callable[[int, values.Node], None] | None = None):
-        self.json_col, self.order_by, self.seen = json_col, order_by, seen
+    With a ``folder`` each batch's state is stored there, so that a restarted
+    query, or another process, goes on from it."""
+
+    def __init__(self, json_col: str, order_by: str, seen: Callable[[int, values.Node], None] | None = None, folder: str | None = None):
+        self.json_col, self.order_by, self.seen, self.folder = json_col, order_by, seen, folder
         self.node: values.Node | None = None
         self.done = -1
 
+    def _load(self, spark: SparkSession) -> None:
+        try:
+            last = spark.read.text(f"{self.folder}/*").agg(F.max_by("value", F.get_json_object("value", "$[0]").cast("long"))).first()[0]
+        except AnalysisException:  # nothing is stored yet
+            return
+        if last:
+            self.done, plain = json.loads(last)
+            self.node = plain and values.node_of(plain)
+
     def update(self, batch: DataFrame, number: int) -> None:
         """For ``foreachBatch``. A batch that comes again is left out."""
+        if self.folder and self.done < 0:
+            self._load(batch.sparkSession)
         if number <= self.done:
             return
         new = schema.merge(batch, self.json_col, self.order_by)
         if new is not None:
-            self.node = new if self.node is None else schema.merged(self.node, new)
+            self.node = new if self.node is None else values.merged(self.node, new)
         self.done = number
+        if self.folder:
+            state = json.dumps([number, self.node and values.plain_node(self.node)])
+            batch.sparkSession.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{number % 8}")
         if self.seen and self.node is not None:
             self.seen(number, self.node)
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        """State goes to ``schema`` below the checkpoint, if no folder is set."""
+        self.folder = self.folder or f"{checkpoint.rstrip('/')}/schema"
         return stream.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint).start()

@@ -59,6 +59,38 @@ def test_minify(spark):
     assert values_of(df, columns.minify(F.col("json"))) == ['{"a b":1,"x\\"/*":[1,2]}']
 
 
+def test_long_strings_are_minified(spark):
+    inside = 'a\\"b // c /* d' * 80_000
+    df = spark.createDataFrame([(1, '{ "k" : "' + inside + '" }'), (2, '"' + "x" * 1_000_000), (3, "/*" + "y" * 1_000_000 + "*/ 1 // " + "z" * 100_000)], "id long, json string")
+    assert values_of(df, columns.minify(F.col("json"))) == ['{"k":"' + inside + '"}', '"' + "x" * 1_000_000, "1"]
+
+
+def test_places_and_strict(spark):
+    made = {"{invalid json}": (2, 2), '{"a":1} x': (None, 8), "{}": (None, None), "": (0, 0), "[1,]": (3, 3), '{"a" 1}': (5, 5), '"é': (1, 1), '["é\\q"]': (4, 4), "[1 2]": (3, 3), "nullx": (None, 4), '"\\ud800"': (1, 1), "[" * 1001: (1000, 1000), "[-]": (1, 1)}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "id long, json string")
+    assert list(zip(values_of(df, columns.error_place("json")), values_of(df, columns.error_place("json", strict=True)), strict=True)) == list(made.values())
+    assert values_of(df, columns.is_valid("json", strict=True)) == [b is None for _, b in made.values()]
+    assert [r.id for r in rows.bad_documents(df, "json", ["id"]).collect()] == [i for i, (a, _) in enumerate(made.values()) if a is not None]
+    with pytest.raises(Exception, match="Invalid JSON at index 7"):
+        spark.createDataFrame([(7, "[")], "id long, json string").select(columns.flatten("json", index=F.col("id"))).collect()
+
+
+def test_extract_put_and_arrays(docs, spark):
+    got = docs.orderBy("id").select("id", columns.extract("json", n=columns.size_at(), b=columns.number_at("a", "B"), k=columns.kind_at("t", 1), s=columns.text_at("a"), h=columns.has_at("A", case_sensitive=True)).alias("x")).collect()
+    assert [r.x and tuple(r.x) for r in got][:3] == [(3, 1.0, "null", '{"b":1,"c":"x"}', False), (0, None, None, None, False), None]
+    assert values_of(docs, columns.put("json", "k", F.when(F.col("id") == 4, "[1]")))[4] == '{"k":"old_v","k":[1]}'
+    assert values_of(docs, columns.put("json", "k", F.lit(None).cast("string")))[0] == values_of(docs, columns.printed("json"))[0]
+    assert '"array"' in values_of(docs, columns.schema_of("json", root_array="array"))[3] and '"items"' not in values_of(docs, columns.schema_of("json"))[3]
+
+
+def test_native_rows_are_the_exact_ones(spark):
+    texts = ["1e20", "1e400", "-0", "0", "-0.5", "0.0001", "0.00001", "1.50", "01", "1.", "123456789", "1234567890", "3000000000", "0.30000000000000004", '"a\\n"', '"é \u2028"', "[1]", "{}", "true", "null", "-1", '""', '"1e5"']
+    made = [f'{{"k": {t} ,"k":{t}}}' for t in texts] + ["{}", " { } x", '{"a":1}x', '{"a":1 ,"b":-22.25 }', '\ufeff{"a":1}', "5", None, '{"a,\\"b":1}', '{"a":"}","b":"{,:"}']
+    flat = spark.createDataFrame(list(enumerate(made)), "id long, json string")
+    exact, native = (sorted(map(str, f(flat, "json", ["id"]).collect())) for f in (rows.flatten_rows, rows.flat_object_rows))
+    assert exact == native and len(exact) > 40
+
+
 def test_rows(docs, spark):
     got = rows.flatten_rows(docs, "json", ["id"]).orderBy("id", "ord").collect()
     assert [tuple(r) for r in got][:3] == [(0, 0, "a.b", "integer", "1"), (0, 1, "a.c", "string", "x"), (0, 2, "t[0]", "string", "u")]
@@ -81,6 +113,11 @@ def test_files(spark, tmp_path):
     files.write_lines(lines.select(columns.flatten("json").alias("json")), str(tmp_path / "out"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ['{"a":1}', '{"a":3}']
     assert [r.json for r in files.from_list(spark, [5, "x", None]).collect()] == ["5", "x", "None"]
+    for k in range(40):
+        (tmp_path / "many").mkdir(exist_ok=True)
+        (tmp_path / "many" / f"{k:02}.txt").write_text("".join(f'{{"n":{k * 100 + j}}}\n' for j in range(k % 7)))
+    numbered = files.numbered_lines(spark, str(tmp_path / "many")).orderBy("position").collect()
+    assert [r.json for r in numbered] == [f'{{"n":{k * 100 + j}}}' for k in range(40) for j in range(k % 7)] and [r.position for r in numbered] == list(range(len(numbered)))
     assert files.whole_files(spark, str(tmp_path / "a.json")).count() == 1
 
 
@@ -99,7 +136,14 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert dict((n, s.kind) for n, _, s in running.node.members) == {"a": "object", "id": "integer"}
-    running.update(None, 0)  # a batch that comes again
+    running.update(spark.range(0), 0)  # a batch that comes again
+    # Another process goes on from what is stored.
+    (folder / "2.json").write_text('{"id":3}\n')
+    again = streams.RunningSchema("json", "id")
+    q = again.start(stream, str(tmp_path / "c2"))
+    q.processAllAvailable()
+    q.stop()
+    assert {n: (s.kind, s.nullable, must) for n, must, s in again.node.members} == {"a": ("object", True, False), "id": ("integer", False, True)}
 
 
 def test_sql(spark, docs):
@@ -108,7 +152,8 @@ def test_sql(spark, docs):
     assert "json_flatten" in names
     assert spark.sql("select json_replace_values(json, '^old', 'x') v from some_docs where id = 4").first().v == '{"k":"x"}'
     assert spark.sql("select json_flatten('{') v").first().v is None
-    assert spark.sql("select count(*) n from some_docs, lateral json_leaves(json)").first().n == 6 + 1 + 2 + 1
+    assert spark.sql("select count(*) n from some_docs lateral view inline(json_leaves(json)) l").first().n == 6 + 1 + 2 + 1
+    assert spark.sql("select json_leaves('{') is null and json_leaves(null) is null and not json_valid('{') v").first().v
 
 
 def test_cli(tmp_path, capsys, monkeypatch):
