@@ -417,45 +417,71 @@ def test_recall_is_not_vacuous(spark):
     assert ann.audit(nodes, asked, spark.createDataFrame([], "node long, links long"), 0.9, ann.Graph()) == 0
 
 
-def test_katz(spark, docs, nothing, monkeypatch):
+@pytest.mark.parametrize(("order", "hot"), [(2, 2000), (3, 2000), (3, 40), (4, 2000)])
+def test_katz(spark, docs, nothing, monkeypatch, order, hot):
     monkeypatch.setattr(katz, "BUCKET_TOKENS", 500)
-    rows = katz.train(docs).scores().collect()
-    assert len(rows) == docs.count()
+    monkeypatch.setattr(katz, "HOT", hot)
+    model = katz.train(docs, order)
+    rows = model.scores().collect()
+    assert len(rows) == docs.count() and model.stats.buckets > 3
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
-    one, two = collections.Counter(), collections.Counter()
+    grams = {k: collections.Counter() for k in range(1, order + 1)}
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+    def context(ws, i, k):
+        """The k - 1 words before ws[i]; before a text stands an end."""
+        ahead = [b"", *ws[:i]]
+        return tuple(ahead[len(ahead) - (k - 1) :]) if len(ahead) >= k - 1 else None
+
     for r in docs.collect():
         if not held(r.doc_id):
             ws = tokens(r.text)
-            one.update(ws)
-            two.update(zip([b"", *ws[:-1]], ws, strict=True))
+            for i, w in enumerate(ws):
+                for k in grams:
+                    if context(ws, i, k) is not None:
+                        grams[k][*context(ws, i, k), w] += 1
+    least = {k: 1 if k < 3 else 2 for k in grams}
 
     def factors(counts):
         n = collections.Counter(min(c, 7) for c in counts)
-        common = 6 * n[6] / n[1]
+        common = 6 * n[6] / n[1] if n[1] else 1
         raw = {c: ((c + 1) * n[c + 1] / (c * n[c]) - common) / (1 - common) if n[c] and common < 1 else 0 for c in range(1, 6)}
         return {c: d if 0 < d <= 1 else (c - 0.5) / c for c, d in raw.items()}
 
-    d1, d2, total = factors(one.values()), factors(two.values()), sum(one.values())
-    unknown = sum(c * (1 - d1[c]) for c in one.values() if c <= 5) / total
-    word = lambda w: one[w] * d1.get(one[w], 1) / total if w in one else unknown
-    after = collections.defaultdict(list)
-    for (h, w), c in two.items():
-        after[h].append((w, c))
+    d = {k: factors(g.values()) for k, g in grams.items()}
+    one, total = {w: c for (w,), c in grams[1].items()}, sum(grams[1].values())
+    unknown = sum(c * (1 - d[1][c]) for c in one.values() if c <= 5) / total
+    after = {k: collections.defaultdict(dict) for k in grams}
+    size = {k: collections.Counter() for k in grams}
+    for k, g in grams.items():
+        for (*h, w), c in g.items():
+            size[k][tuple(h)] += c
+            if c >= least[k]:
+                after[k][tuple(h)][w] = c
+    known = {}
 
     def given(h, w):
-        if h not in after:
-            return word(w)
-        free = sum(c * (1 - d2[c]) for _, c in after[h] if c <= 5)
-        size = one[h] + (free <= 0)
-        c = two.get((h, w), 0)
-        return c * d2.get(c, 1) / size if c else (free or 1) / size / (1 - sum(word(x) for x, _ in after[h])) * word(w)
-
-    assert all(abs(sum(given(h, w) for w in one) + given(h, b"\0") - 1) < 1e-9 for h in list(after)[:20])
+        k = len(h) + 1
+        if k == 1:
+            return one[w] * d[1].get(one[w], 1) / total if w in one else unknown
+        if size[k][h] < least[k]:
+            return given(h[1:], w)
+        if h not in known:
+            free = size[k][h] - sum(c * d[k].get(c, 1) for c in after[k][h].values())
+            known[h] = free, size[k][h] + (free <= 1e-9), 1 - sum(given(h[1:], x) for x in after[k][h])
+        free, n, left = known[h]
+        c = after[k][h].get(w, 0)
+        return c * d[k].get(c, 1) / n if c else (free if free > 1e-9 else 1) / n / left * given(h[1:], w)
+
+    for k in range(2, order + 1):
+        some = [h for h in after[k] if after[k][h]][:15]
+        assert some and all(abs(sum(given(h, w) for w in one) + given(h, b"\0") - 1) < 1e-9 for h in some)
     text = {r.doc_id: r.text for r in docs.collect()}
     for r in rows:
         ws = tokens(text[r.doc])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc), len(ws), sum(w in one for w in ws), total)
         assert r.base_score == pytest.approx(sum(math.log10((one.get(w, 0) + 1) / (total + len(one) + 1)) for w in ws))
-        assert r.score == pytest.approx(sum(math.log10(given(h, w)) for h, w in zip([b"", *ws[:-1]], ws, strict=True)))
-    assert katz.train(nothing).scores().count() == 0
+        assert r.score == pytest.approx(sum(math.log10(given(next(h for k in range(order, 0, -1) if (h := context(ws, i, k)) is not None), w)) for i, w in enumerate(ws)))
+    for k in grams:
+        assert sorted(r["count"] for r in model.table(k).collect()) == sorted(c for c in grams[k].values() if c >= least[k])
+    assert katz.train(nothing, order).scores().count() == 0
