@@ -34,13 +34,16 @@ def ascii_lower(text: Column) -> Column:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors see.
 
-    Where the setting is absent (tests, local mode) a folder under /tmp is made
-    once per application and set as Spark's checkpoint folder.
+    Where the setting is absent a folder under /tmp is made once per application
+    and set as Spark's checkpoint folder, in local mode; on a cluster, whose
+    machines wouldn't see each other's /tmp, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext.getCheckpointDir()
         if not current:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
             current = spark.sparkContext.getCheckpointDir()
         base = current
@@ -61,7 +64,11 @@ def file_system(path: str):
     """A pyarrow file system and the path in it, for use inside tasks."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    if "://" not in path:
+        path = "file://" + path.removeprefix("file:")
+    scheme, rest = path.split("://", 1)
+    names = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfss"}  # Hadoop's names, and Arrow's
+    return fs.FileSystem.from_uri(f"{names.get(scheme, scheme)}://{rest}")
 
 
 def remove_folder(path: str) -> None:

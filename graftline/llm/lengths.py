@@ -6,7 +6,9 @@ truncated totals for any context limit follow without another look at a text.
 
 Defined results: a null text is an empty one, of length 0; repeated rows count
 each; null groups are a group; an empty table gives an empty histogram, for which
-totals are 0 and quantiles null.
+totals are 0 and quantiles null; texts of any length are encoded whole; other
+columns are left alone, but a column to count by can't have a name that is used
+here: ``length``, ``n_docs`` and so on raise a ValueError.
 """
 
 from __future__ import annotations
@@ -33,8 +35,14 @@ def _encoding(path: str, pattern: str):
     return _encodings[path]
 
 
+def _free(by: tuple[str, ...]) -> None:
+    if taken := {"length", "n_docs", "n_tokens", "_span", "_docs", "_tokens", "_all", "_text"} & set(by):
+        raise ValueError(f"rename {', '.join(sorted(taken))} to count by it")
+
+
 def encoded_lengths(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
     """``length`` and the columns ``by`` for each row."""
+    _free(by)
     rows = docs.select(docs[text_col].alias("_text"), *[docs[c] for c in by])
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
 

@@ -15,8 +15,9 @@ a spanning forest of its links, never all pairs.
 
 Defined results: a null text is an empty one; a text without words has
 fingerprint zero and links like any other; repeated rows link with each other;
-null ids take part, but are never the smallest of a component unless alone; an
-empty table gives an empty result.
+null ids take part, but are never the smallest of a component unless alone; texts
+of any length are hashed whole, one at a time; other columns are left alone,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,8 +73,8 @@ def masks(radius: int, seed: int = 7) -> list[int]:
 
 def forest(left: np.ndarray, right: np.ndarray, radius: int, rows: int = 512) -> np.ndarray:
     """Links of a spanning forest of the graph with an edge between each left and
-    right fingerprint that differ in ``radius`` bits or fewer. Points that a
-    found star connects already aren't compared among each other again."""
+    right fingerprint that differ in ``radius`` bits or fewer. All are compared,
+    in numpy; only near ones of different trees take a step of Python."""
     nodes = np.unique(np.concatenate([left, right]))
     label = np.arange(len(nodes))
     a, b = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
@@ -89,7 +90,9 @@ def forest(left: np.ndarray, right: np.ndarray, radius: int, rows: int = 512) ->
         part = a[k : k + rows]
         near = np.bitwise_count(nodes[part][:, None] ^ nodes[b][None, :]) <= radius
         for i, hits in zip(part.tolist(), near, strict=True):
-            for j in b[np.flatnonzero(hits)].tolist():
+            found = b[np.flatnonzero(hits)]
+            found = found[label[found] != label[i]]  # the others are in one tree for sure
+            for j in found.tolist():
                 x, y = root(i), root(j)
                 if x != y:
                     label[max(x, y)] = min(x, y)

@@ -7,7 +7,8 @@ small labelled table of urls, ``(url, label)`` with 1 for block, of which at mos
 Defined results: a null url, or one without ``://``, has empty host and path; no
 rule fits it, and the model judges it by its intercept; a table of labels that is
 empty or of one label gives a model that answers with that label (allow if there
-is none); repeated rows are judged each; other columns are left alone.
+is none); repeated rows are judged each, urls of any length whole; an empty table
+gives an empty result; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -89,12 +90,13 @@ class UrlModel:
         self.learning, self.model, self.label = learning, model, label
 
     def judge(self, rows: DataFrame, host_col: str = "host", path_col: str = "path") -> DataFrame:
-        """Adds ``blocked`` to rows that have host and path."""
+        """Adds ``blocked`` to rows that have host and path; other columns, whatever
+        their names but ``blocked``, are left alone."""
         if self.model is None:
             return rows.withColumn("blocked", F.lit(bool(self.label)))
-        hashed = _hashed(rows.withColumn("_grams", ngrams(F.col(host_col), F.col(path_col), self.learning)), self.learning)
-        judged = self.model.setPredictionCol("_prediction").transform(hashed)
-        return judged.withColumn("blocked", F.col("_prediction") > 0.5).drop("_grams", "_features", "rawPrediction", "probability", "_prediction")
+        own = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("_row"), ngrams(rows[host_col], rows[path_col], self.learning).alias("_grams"))
+        judged = self.model.setPredictionCol("_prediction").transform(_hashed(own, self.learning))
+        return judged.select("_row.*", (F.col("_prediction") > 0.5).alias("blocked"))
 
 
 def _hashed(rows: DataFrame, learning: Learning) -> DataFrame:

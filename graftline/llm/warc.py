@@ -224,7 +224,7 @@ def read(files: DataFrame, payloads: bool = False, keep: int = 1000) -> DataFram
 
     kind = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads
     paths = files.select("path")
-    return paths.repartition(max(1, paths.count()), "path").mapInArrow(run, kind)
+    return paths.repartition(max(1, paths.count())).mapInArrow(run, kind)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
