@@ -140,23 +140,42 @@ def spark_type(node: values.Node):
 
 
 def grouped_schemas(df: DataFrame, by: list[str], json_col: str, order_by: str) -> DataFrame:
-    """The merged schema of each of many small groups: ``(by..., schema)``. A group
-    is one task's; use ``merge`` for large ones."""
+    """The merged schema of each of many groups: ``(by..., schema)``.
+
+    A group's documents reach one task in their order and are folded as they
+    come, so memory holds a batch and one schema, whatever the group's size; the
+    fold can't be split, as it depends on the order. ``merge`` spreads a single
+    large batch over tasks."""
     import pyarrow as pa
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = df.select(*by, F.col(order_by).alias("_ord"), F.col(json_col).alias("_json"))
-
-    def fold(table: pa.Table) -> pa.Table:
-        state = None
-        for text in table.sort_by("_ord").column("_json").to_pylist():
-            if text is not None:
-                node = values.analyse(jsontext.parse(text))
-                state = node if state is None else values.merged(state, node)
-        text = "{}" if state is None else jsontext.dump(values.draft(state))
-        return pa.table({**{c: table.column(c).slice(0, 1) for c in by}, "schema": [text]})
-
-    return rows.groupBy(*by).applyInArrow(fold, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", schema string")
+    keys = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)])
+    rows = df.select(F.col(json_col).alias("json"), keys.alias("keys"), F.col(order_by).alias("ord"))
+
+    def fold(batches):
+        last, state = None, None
+
+        def out(row: pa.StructArray, state) -> pa.RecordBatch:
+            text = "{}" if state is None else jsontext.dump(values.draft(state))
+            return pa.RecordBatch.from_arrays([row, pa.array([text])], names=["keys", "schema"])
+
+        for batch in batches:
+            keys = batch.column(1)
+            for i, (text, key) in enumerate(zip(batch.column(0).to_pylist(), keys.to_pylist(), strict=True)):
+                if last is not None and key != last[0]:
+                    yield out(last[1], state)
+                    last, state = None, None
+                if last is None:
+                    last = key, keys.slice(i, 1)
+                if text is not None:
+                    node = values.analyse(jsontext.parse(text))
+                    state = node if state is None else values.merged(state, node)
+        if last is not None:
+            yield out(last[1], state)
+
+    kept = ", ".join(f"k{i}: {kinds[c]}" for i, c in enumerate(by))
+    found = rows.repartition("keys").sortWithinPartitions("keys", "ord").mapInArrow(fold, f"keys struct<{kept}>, schema string")
+    return found.select(*[F.col(f"keys.k{i}").alias(c) for i, c in enumerate(by)], "schema")
 
 
 merged = values.merged
