@@ -1,9 +1,12 @@
 """Near-duplicates by the Jaccard similarity of word shingles.
 
 Texts are linked if their sets of five-word shingles have a similarity of 0.8 or
-more. Candidates share a band of min-hashes: 24 bands of 4 rows. A pair at 0.8
-is no candidate with a chance of (1 - 0.8^4)^24 = 3e-6, one at 0.85 of 8e-8.
-Every candidate is verified on the whole sets before it links.
+more. The SimHash operator's covering search gives the first candidates: texts
+whose five-word fingerprints differ in 3 bits or fewer. Pairs at 0.8 differ in up
+to 10, more than covering masks can search, so texts that share a band of
+min-hashes, 24 bands of 4 rows, are candidates as well. A pair at 0.8 is none
+there with a chance of (1 - 0.8^4)^24 = 3e-6, one at 0.85 of 8e-8. Every
+candidate is verified on the whole sets before it links.
 
 Equal sets are one node, whatever their number. In a band's bucket all nodes meet
 the one that has the most company in all its buckets, so a group of copies of one
@@ -24,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, stored
-from .simhash import SHINGLE_SEED, first_rows
+from .simhash import fingerprint_of, first_rows, shingle_hashes
+from .simhash import links as covering_links
 
 BANDS, ROWS = 24, 4
 _DRAW = np.random.default_rng(11)
@@ -34,11 +38,7 @@ _MIX = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """The different hashes of a text's shingles, in order."""
-    import xxhash
-
-    ws = (text or "").encode().lower().split()  # bytes: A-Z alone, and ASCII white space alone
-    shingles = map(b" ".join, zip(*[ws[k:] for k in range(width)], strict=False)) if len(ws) >= width else [b" ".join(ws)] * bool(ws)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SHINGLE_SEED) for s in shingles), dtype="<u8"))
+    return np.unique(shingle_hashes(text, width))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -57,14 +57,16 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
     import xxhash
 
     for batch in batches:
-        nodes, sizes, keys = [], [], []
+        nodes, sizes, prints, keys = [], [], [], []
         for text in batch.column(1).to_pylist():
-            found = shingle_set(text, width)
+            hashes = shingle_hashes(text, width)
+            found = np.unique(hashes)
             nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
             sizes.append(len(found))
+            prints.append(fingerprint_of(hashes))
             keys.append(bands(found))
-        node = pa.array(np.array(nodes, dtype=np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), node, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "text_hash", "node", "size", "bands"])
+        node, fp = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, prints))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), node, pa.array(sizes, pa.int64()), fp, pa.array(keys, pa.list_(pa.int64()))], names=["doc", "text_hash", "node", "size", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -159,16 +161,26 @@ def _near_sizes(least: float):
     return F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9
 
 
-def links(nodes: DataFrame, keyed: DataFrame, least: float = 0.8, width: int = 5, most: int = 1000) -> DataFrame:
+def _fingerprint_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs of nodes that fingerprints connect, by one node for each fingerprint."""
+    first = stored(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("m")), "first-of-fingerprints")
+    same = nodes.select("fp", F.struct("node", "size").alias("n")).join(first, "fp").select("n", "m")
+    near = covering_links(first.select("fp"), radius)
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("m").alias("n")), "a").join(first.withColumnRenamed("fp", "b"), "b").select("n", "m")
+    return same.union(near)
+
+
+def links(nodes: DataFrame, keyed: DataFrame, least: float = 0.8, width: int = 5, most: int = 1000, radius: int = 3) -> DataFrame:
     """Links ``(a, b)`` that connect all nodes with a similarity of ``least`` or
-    more, directly or through others. ``nodes``: ``(node, size, bands, k)``."""
+    more, directly or through others. ``nodes``: ``(node, size, fp, bands, k)``."""
     rows = nodes.select("node", "size", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = stored(rows.join(shared, "key"), "shared-buckets")
     company = rows.groupBy("node").agg(F.sum("n").alias("company"))
     middle = rows.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node", "size")).alias("m"))
-    pair = [F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b"), F.col("size").alias("size_a"), F.col("m.size").alias("size_b")]
-    pairs = stored(rows.join(middle, "key").select(*pair).where("a <> b").where(_near_sizes(least)).select("a", "b").distinct(), "star-pairs")
+    found = rows.join(middle, "key").select(F.struct("node", "size").alias("n"), F.struct("m.node", "m.size").alias("m")).union(_fingerprint_pairs(nodes, radius))
+    pair = [F.least("n.node", "m.node").alias("a"), F.greatest("n.node", "m.node").alias("b"), F.col("n.size").alias("size_a"), F.col("m.size").alias("size_b")]
+    pairs = stored(found.select(*pair).where("a <> b").where(_near_sizes(least)).select("a", "b").distinct(), "candidate-pairs")
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, keyed, width)
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "hashes": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "hashes": "y"}), "b")
     stars = stored(both.select("a", "b", "x", "y").mapInArrow(lambda it: _similar(it, least), "a long, b long"), "star-links")
@@ -194,8 +206,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole component."""
     keyed = _keyed(docs, id_col, text_col)
     kind = keyed.schema["doc"].dataType.simpleString()
-    rows = stored(keyed.mapInArrow(lambda it: _signatures(it, width), f"doc {kind}, text_hash long, node long, size long, bands array<long>"), "signatures")
-    nodes = rows.groupBy("node").agg(F.min("doc").alias("doc"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.min(F.struct("doc", "text_hash")).alias("k"))
+    rows = stored(keyed.mapInArrow(lambda it: _signatures(it, width), f"doc {kind}, text_hash long, node long, size long, fp long, bands array<long>"), "signatures")
+    nodes = rows.groupBy("node").agg(F.min("doc").alias("doc"), F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("doc", "text_hash")).alias("k"))
     nodes = stored(nodes, "distinct-sets")
     found = connected_components(links(nodes, keyed, least, width)).select("node", F.col("component").alias("root"))
     named = nodes.select("node", "doc").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -35,21 +35,28 @@ from .common import connected_components, stored
 SHINGLE_SEED = 42
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The fingerprint of one text."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The hash of each shingle of a text, repeats included; none without words."""
     import xxhash
 
     ws = (text or "").encode().lower().split()  # bytes: A-Z alone, and ASCII white space alone
-    if not ws:
-        return 0
-    shingles = map(b" ".join, zip(*[ws[k:] for k in range(width)], strict=False)) if len(ws) >= width else [b" ".join(ws)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SHINGLE_SEED) for s in shingles), dtype="<u8")
+    shingles = map(b" ".join, zip(*[ws[k:] for k in range(width)], strict=False)) if len(ws) >= width else [b" ".join(ws)] * bool(ws)
+    return np.fromiter((xxhash.xxh64_intdigest(s, SHINGLE_SEED) for s in shingles), dtype="<u8")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a text with these shingle hashes; zero for none."""
     octets = hashes.view(np.uint8).reshape(-1, 8)
     bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
     votes = np.concatenate([np.bincount(octets[:, k], minlength=256) @ bits for k in range(8)])
     return int(sum(1 << i for i in np.flatnonzero(2 * votes > len(hashes)).tolist()))
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The fingerprint of one text."""
+    return fingerprint_of(shingle_hashes(text, width))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
