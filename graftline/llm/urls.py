@@ -125,6 +125,17 @@ def labelled_by_rules(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url_col
     return pages.select(pages[url_col].alias("url"), fit.alias("fit")).where("fit is not null").select("url", (F.col("fit.verdict") == "block").cast("int").alias("label"))
 
 
+def held_out(labelled: DataFrame, learning: Learning = Learning(), folds: int = 5, url_col: str = "url", label_col: str = "label") -> DataFrame:
+    """``(label, blocked, n)``: how a model that has learnt from all urls but one
+    of ``folds`` parts judges that part. Parts are dealt by host and path, so a
+    url that repeats is on one side only; rows without a label are left out."""
+    rows = labelled.select(labelled[url_col].alias("url"), labelled[label_col].cast("int").alias("label")).where("label is not null")
+    rows = rows.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
+    aside = F.pmod(F.xxhash64("host", "path", F.lit(3)), F.lit(folds)) == 0
+    judged = train(rows.where(~aside), learning).judge(rows.where(aside))
+    return judged.groupBy("label", "blocked").agg(F.count("*").alias("n"))
+
+
 def judge(pages: DataFrame, model: UrlModel, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` for every row."""
     rows = pages.select(pages[id_col].alias("page_id"), host(pages[url_col]).alias("host"), path(pages[url_col]).alias("path"))

@@ -329,6 +329,12 @@ def test_urls(spark):
     assert [tuple(r)[1:] for r in sorted(got, key=lambda r: r.page_id)] == want
 
 
+def test_url_model_on_held_out_pages(spark):
+    labelled = urls.labelled_by_rules(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    counts = {(r.label, r.blocked): r.n for r in urls.held_out(labelled).collect()}
+    assert counts.get((0, False), 0) + counts.get((1, True), 0) >= 0.95 * sum(counts.values()) and counts[1, True]
+
+
 def test_url_model_on_held_out_rows(spark):
     draw = random.Random(4)
     rows = [(f"http://{'casino' if bad else 'school'}{draw.randrange(999)}.example.net/{draw.choice('abc')}/{draw.randrange(9999)}", bad) for bad in (draw.random() < 0.5 for _ in range(400))]
