@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, katz, lengths, mixing, quality, simhash, token_files, urls, warc
+from . import ann, bpe, katz, lengths, mixing, periodic, prefix_bpe, prefix_trie, quality, simhash, token_files, urls, warc
 from .common import shared_folder
 
 
@@ -67,7 +67,30 @@ def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.train(_table(spark, sf_dir, "documents"), order=2).scores().withColumnRenamed("doc", "doc_id")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_periods(_table(spark, sf_dir, "documents"))
+    return periodic.digests(periodic.runs(docs, "doc")).withColumnRenamed("doc", "doc_id")
+
+
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = prefix_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return prefix_bpe.digests(found).withColumnRenamed("doc", "doc_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.with_shared_starts(prefix_trie.conversations(_table(spark, sf_dir, "conversations")))
+    found = prefix_trie.trie(convs)
+    return found.select(
+        F.col("conv").alias("conv_id"), F.col("depth").cast("long").alias("depth"), F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256"
+    )
+
+
 QUERIES = {
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_bpe": op12_prefix_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
     "op6_katz_scores": op6_katz_scores,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op1_token_files": op1_token_files,
