@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from . import jsontext, regex, values
 
-NODES = "array<struct<path:string,kind:string,nullable:boolean,required:boolean,names:array<string>>>"
 LEAVES = "array<struct<ord:int,path:string,type:string,value:string>>"
 
 
@@ -53,8 +52,6 @@ def _mapped(run: Callable, kind: str, on_error: str, message: str = "Invalid JSO
 
 
 def _arrow(kind: str) -> pa.DataType:
-    if kind == NODES:
-        return pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()), ("nullable", pa.bool_()), ("required", pa.bool_()), ("names", pa.list_(pa.string()))]))
     if kind == LEAVES:
         return pa.list_(pa.struct([("ord", pa.int32()), ("path", pa.string()), ("type", pa.string()), ("value", pa.string())]))
     if kind.startswith("struct<"):
@@ -209,12 +206,6 @@ def schema_of(col, pretty: bool = True, on_error: str = "fail", root_array: str
     return _mapped(lambda v: jsontext.dump(values.schema_of(v, root_array), pretty), "string", on_error, "Failed to generate schema")(col)
 
 
-def schema_nodes(col, on_error: str = "fail") -> Column:
-    """The nodes of each document's schema, for ``operators.schema``."""
-    names = ("path", "kind", "nullable", "required", "names")
-    return _mapped(lambda v: [dict(zip(names, r, strict=True)) for r in values.schema_rows(values.analyse(v))], NODES, on_error)(col)
-
-
 def leaf_rows(col, empty_objects: bool = False, on_error: str = "fail", max_path_bytes: int | None = values.PATH_BYTES) -> Column:
     """An array of ``(ord, path, type, value)``; ``value`` is a scalar's text without quotes."""
 

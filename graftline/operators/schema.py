@@ -1,107 +1,241 @@
-"""The schema of a batch of documents, merged in their order.
+"""The schemas of batches of documents, merged in their order.
 
 Merging keeps what it knows of a property only as long as every document has it:
 where a document lacks it, or it turns up first in a later document, its inner
-structure is forgotten and gathered anew from the documents after that *gap*. So
-the merged schema follows, level by level, from aggregates over the documents'
-schema nodes: of each property the joined types and flags in the scope of its
-parent, and the ordinal of its last gap, which starts the scope of what is below
-it. No task sees documents in order, and the driver sees one row for each path.
+structure is forgotten and gathered anew from the documents after that *gap*. So the
+merged schema follows from where each property's last unbroken stretch starts.
+
+Documents are dealt out in ranges of their order (and group), and a task reads its
+range in order. It numbers the places of every path, and gives a row for each stretch
+of documents in which a path has one type: what it is, and which of its parent's places
+it stands at. Nothing is given for what a document lacks. Numbers of ranges are added
+up, so a stretch knows its places among all documents.
+
+Stretches are then put together level by level, from the root down. Of a property, the
+stretches of a range make a summary (first place, start of the unbroken tail, last
+place), summaries follow each other as stretches do, and so on to the whole: each list
+is of bounded length, and a group that has most of the documents is no task of its own.
+Where the tail starts is where the level below starts to count.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import columns, jsontext, values
+from ..functions import jsontext, values
 
+# Fixed values
+KINDS = ["null", "boolean", "integer", "number", "string", "array", "object", "mixed"]
 
-@dataclass
-class _Scope:
-    """Documents after ``start``; with ``whole``, the one at ``start`` as well."""
+#: Documents to a chunk of a range; scopes that are sent to all tasks at most.
+CHUNK, FEW = 10_000, 50_000
+_STRETCH = [("chunk", pa.int64()), ("above", pa.string()), ("path", pa.string()), ("kind", pa.int64()), ("nullable", pa.bool_()), ("required", pa.bool_()), ("lo", pa.int64()), ("n", pa.int64()), ("own", pa.int64())]
+_STRETCH_SQL = "chunk bigint, above string, path string, kind bigint, nullable boolean, required boolean, lo bigint, n bigint, own bigint"
 
-    start: int
-    whole: bool
-    merged: values.Node
 
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
+def _kept(df: DataFrame) -> DataFrame:
     """Checkpointed where a folder is set, else cached: levels read it again."""
     if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None):
         return df.checkpoint()
     return df.persist()
 
 
-def schema_rows(df: DataFrame, json_col: str, order_by: str, on_error: str = "fail") -> DataFrame:
-    """``(ord, path, kind, nullable, required, names)`` of each document's schema."""
-    return df.select(df[order_by].cast("long").alias("ord"), F.inline(columns.schema_nodes(df[json_col], on_error)))
-
-
-def _joined(kinds: list[str]) -> str:
-    out = kinds[0]
-    for k in kinds[1:]:
-        out = values.joined(out, k)
-    return out
-
-
-def merge(df: DataFrame, json_col: str, order_by: str, on_error: str = "fail", max_paths: int = 200_000) -> values.Node | None:
+class _Chunk:
+    """The stretches of consecutive documents."""
+
+    def __init__(self):
+        self.docs = 0
+        self.open: dict[str, list] = {}  # path: kind, nullable, required, first place of the parent, places, first own place, parent
+        self.count: dict[str, int] = {}
+        self.done: list[tuple] = []
+
+    def add(self, node: values.Node) -> None:
+        self.docs += 1
+        self._add(node, "", "", True, self.docs)
+
+    def _add(self, node: values.Node, above: str, path: str, required: bool, place: int) -> None:
+        last = self.open.get(path)
+        if last and last[3] + last[4] - 1 == place:
+            return  # a name that its object repeats
+        own = self.count[path] = self.count.get(path, 0) + 1
+        kind = 1 << KINDS.index(node.kind)
+        if last and last[3] + last[4] == place and last[:3] == [kind, node.nullable, required]:
+            last[4] += 1
+        else:
+            if last:
+                self._close(path, last)
+            self.open[path] = [kind, node.nullable, required, place, 1, own, above]
+        for name, must, below in node.members or ():
+            self._add(below, path, path + values.path_step(name), must, own)
+        if node.items:
+            self._add(node.items, path, path + "*", True, own)
+
+    def _close(self, path: str, s: list) -> None:
+        self.done.append((s[6], path, s[0], s[1], s[2], s[3], s[4], s[5]))
+
+    def rows(self) -> list[tuple]:
+        for path, s in self.open.items():
+            self._close(path, s)
+        return self.done
+
+
+def stretches(df: DataFrame, json_col: str, order_by: str, by: list[str] | None = None, on_error: str = "fail", size: int = CHUNK) -> DataFrame:
+    """``(g, chunk, above, path, kind, nullable, required, lo, n, own)``: ``n`` places
+    of a path from its ``own``-th on, at its parent's places from ``lo`` on, counted
+    within a chunk of up to ``size`` documents. ``g`` holds the columns of ``by``;
+    ``kind`` is a bit of a set."""
+    group = F.struct(*[df[c].alias(f"k{i}") for i, c in enumerate(by or ())]) if by else F.lit(0)
+    rows = df.where(df[json_col].isNotNull()).select(group.alias("g"), df[order_by].cast("long").alias("ord"), df[json_col].alias("json"))
+    keys = ["g", "ord"] if by else ["ord"]
+    kind = rows.schema["g"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, group, chunk = TaskContext.get().partitionId() << 32, None, None
+
+        def out(batch_group: pa.Array) -> pa.RecordBatch:
+            found = chunk.rows()
+            columns = [pa.array([number] * len(found), pa.int64()), *[pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True), _STRETCH[1:], strict=True)]]
+            return pa.RecordBatch.from_arrays([batch_group.take(pa.array([0] * len(found))), *columns], names=["g", *[n for n, _ in _STRETCH]])
+
+        held = None
+        for batch in batches:
+            groups = batch.column(0)
+            for i, (g, text) in enumerate(zip(groups.to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if chunk is not None and (g != group or chunk.docs >= size):
+                    yield out(held)
+                    chunk, number = None, number + 1
+                if chunk is None:
+                    chunk, group, held = _Chunk(), g, pa.array([g], groups.type)
+                try:
+                    chunk.add(values.analyse(jsontext.parse(text)))
+                except jsontext.Invalid as e:
+                    if on_error == "fail":
+                        raise ValueError(f"Invalid JSON input: {e}") from None
+        if chunk is not None and chunk.docs:
+            yield out(held)
+
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"g {kind}, {_STRETCH_SQL}")
+
+
+def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places counted over all documents, and how many each path has."""
+    part = F.shiftright("chunk", 32)
+    counts = rows.groupBy("g", "path", part.alias("part"), "chunk").agg(F.sum("n").alias("n"))
+    # Sums of ranges first, then of the chunks in each: no window holds more than a range's chunks or all ranges.
+    parts = counts.groupBy("g", "path", "part").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("chunk", "n"))).alias("chunks"))
+    paths = parts.groupBy("g", "path").agg(F.sort_array(F.collect_list(F.struct("part", "n", "chunks"))).alias("parts"), F.sum("n").alias("total"))
+
+    def upto(items: Column, item: str, value: Column) -> Column:
+        """Items with the sum of those before."""
+        start = F.struct(value.alias("sum"), F.slice(F.transform(items, lambda x: F.struct(x[item].alias("item"), x["n"].alias("before"))), 1, 0).alias("out"))
+        step = lambda acc, x: F.struct((acc["sum"] + x["n"]).alias("sum"), F.concat(acc["out"], F.array(F.struct(x[item].alias("item"), acc["sum"].alias("before")))).alias("out"))
+        return F.aggregate(items, start, step)["out"]
+
+    each = paths.select("g", "path", F.inline(F.arrays_zip(F.col("parts.chunks").alias("chunks"), upto(F.col("parts"), "part", F.lit(0).cast("long")).alias("at"))))
+    before = each.select("g", "path", F.inline(upto(F.col("chunks"), "chunk", F.col("at.before"))))
+    own = before.select(F.col("g"), F.col("path"), F.col("item").alias("chunk"), F.col("before").alias("own_before"))
+    parent = before.select(F.col("g"), F.col("path").alias("above"), F.col("item").alias("chunk"), F.col("before").alias("lo_before"))
+    placed = rows.join(own, ["g", "path", "chunk"]).join(parent, ["g", "above", "chunk"])
+    placed = placed.select("g", "chunk", "above", "path", "kind", "nullable", "required", (F.col("lo") + F.col("lo_before")).alias("lo"), "n", (F.col("own") + F.col("own_before")).alias("own"))
+    return placed, paths.select("g", "path", "total")
+
+
+_SUMMARY = ["first", "first_own", "tail", "tail_own", "last"]
+
+
+def _in_order(rows: DataFrame, keys: list[str], sums: list[Column]) -> DataFrame:
+    """Summaries that follow each other as one: the first place, where the unbroken
+    tail starts, and the last place."""
+    listed = F.sort_array(F.collect_list(F.struct(*_SUMMARY)))
+    found = rows.groupBy(*keys).agg(listed.alias("s"), *sums)
+
+    def step(acc, x):
+        joined = x["first"] <= acc["last"] + 1
+        broken = x["tail"] > x["first"]
+        tail = lambda name: F.when(joined & ~broken, acc[name]).otherwise(x[name]).alias(name)
+        return F.struct(acc["first"].alias("first"), acc["first_own"].alias("first_own"), tail("tail"), tail("tail_own"), x["last"].alias("last"))
+
+    one = F.aggregate(F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))), F.col("s")[0], step)
+    return found.withColumn("s", one).select(*[c for c in found.columns if c != "s"], *[F.col("s")[c].alias(c) for c in _SUMMARY])
+
+
+def _joined(mask: Column) -> Column:
+    """The joined type of a set of types."""
+    bit = {k: 1 << i for i, k in enumerate(KINDS)}
+    out = F.when(mask == bit["integer"] + bit["number"], "number")
+    for k, b in bit.items():
+        out = out.when(mask == b, k)
+    return out.otherwise("mixed")
+
+
+def merged_nodes(df: DataFrame, json_col: str, order_by: str, by: list[str] | None = None, on_error: str = "fail", size: int = CHUNK) -> DataFrame:
+    """``(g, path, kind, nullable, required)``: the nodes of the merged schema of each
+    group, ``g`` being a struct of the columns of ``by``, or 0 for all documents."""
+    rows, totals = _numbered(_kept(stretches(df, json_col, order_by, by, on_error, size)))
+    rows, totals = _kept(rows), _kept(totals)
+    null = 1 << KINDS.index("null")
+    sums = [F.bit_or("kind").alias("kinds"), F.bool_or("nullable").alias("nullable"), F.bool_and("required").alias("required"), F.sum("n").alias("n")]
+    again = [F.bit_or("kinds").alias("kinds"), F.bool_or("nullable").alias("nullable"), F.bool_and("required").alias("required"), F.sum("n").alias("n")]
+    nullable = F.col("nullable") | ((F.col("n") > 1) & (F.col("kinds").bitwiseAND(null) != 0))
+    root = rows.where("path = ''").groupBy("g").agg(*sums)
+    level = _kept(root.select("g", F.lit("").alias("path"), _joined(F.col("kinds")).alias("kind"), nullable.alias("nullable"), F.lit(True).alias("required"), F.lit(0).cast("long").alias("after"), F.lit(True).alias("whole")))
+    found = [level]
+    while True:
+        # What is below counts from the parent's place after ``after`` on.
+        scopes = level.where(F.col("kind").isin("object", "array") & F.col("after").isNotNull())
+        scopes = scopes.join(totals, ["g", "path"]).select("g", F.col("path").alias("above"), "after", "whole", F.col("total").alias("places"))
+        few = scopes.limit(FEW + 1).count()
+        if not few:
+            break
+        # At the root the path and its parent's are the same.
+        below = rows.where("path <> ''").join(F.broadcast(scopes) if few <= FEW else scopes, ["g", "above"])
+        skip = F.greatest(F.col("after") + 1 - F.col("lo"), F.lit(0))
+        below = below.withColumn("skip", skip).where("skip < n").select("*", (F.col("lo") + F.col("skip")).alias("first"), (F.col("own") + F.col("skip")).alias("first_own"))
+        below = below.withColumn("last", F.col("lo") + F.col("n") - 1).withColumn("n", F.col("n") - F.col("skip")).withColumn("tail", F.col("first")).withColumn("tail_own", F.col("first_own"))
+        keys = ["g", "above", "path", "after", "whole", "places"]
+        chunks = _in_order(below.withColumn("part", F.shiftright("chunk", 32)), [*keys, "part", "chunk"], sums)
+        whole = _in_order(_in_order(chunks, [*keys, "part"], again), keys, again)
+        items = F.col("path").endswith("*")
+        ends, broken = F.col("last") < F.col("places"), F.col("tail") > F.col("first")
+        starts = F.col("whole") & (F.col("first") == F.col("after") + 1)
+        gap = ~items & (ends | broken | ~starts)
+        # The place after which the next level counts; none if the property is lacking at the end.
+        zero = F.lit(0).cast("long")
+        after = (
+            F.when(items, F.when(F.col("whole"), zero).otherwise(F.col("first_own")))
+            .when(ends, None)
+            .when(broken, F.col("tail_own") - 1)
+            .when(~starts, F.col("first_own"))
+            .otherwise(zero)
+        )
+        level = _kept(
+            whole.select(
+                "g", "path", _joined(F.col("kinds")).alias("kind"), (nullable | gap).alias("nullable"), (F.col("required") & ~gap).alias("required"), after.alias("after"),
+                F.when(items, F.col("whole")).otherwise(~gap).alias("whole"),
+            )
+        )
+        found.append(level)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select("g", "path", "kind", "nullable", "required")
+
+
+def merge(df: DataFrame, json_col: str, order_by: str, on_error: str = "fail", max_paths: int = 1_000_000) -> values.Node | None:
     """The merged schema of ``df`` in the order of ``order_by``, whole numbers
     that are unique; None for no documents. Rows whose text is null are left out.
 
-    A schema has a node for each path, and so has the driver's memory; documents
-    with over ``max_paths`` different paths, such as those that use ids as names,
-    are an error, found by a count before any level is merged."""
-    rows = _kept(schema_rows(df.where(df[json_col].isNotNull()), json_col, order_by, on_error), "schema")
-    spark = df.sparkSession
-    top = rows.where("path = ''").agg(F.min("ord"), F.count("*"), F.collect_set("kind"), F.bool_or("nullable")).first()
-    if not top[1]:
-        return None
-    if (paths := rows.select("path").distinct().limit(max_paths + 1).count()) > max_paths:
-        raise ValueError(f"documents have over {paths - 1} different paths; replace keys that hold data first, or raise max_paths")
-    kind = _joined(sorted(top[2]))
-    root = values.Node(kind, top[3] or (top[1] > 1 and "null" in top[2]))
-    scopes = {"": _Scope(top[0], True, root)}
-    while scopes:
-        table = spark.createDataFrame([(p, s.start, s.whole, s.merged.kind) for p, s in scopes.items()], "parent string, start long, whole boolean, of string")
-        # The parents' own rows in scope, for the properties that each lacks.
-        own = rows.join(table, (F.col("path") == F.col("parent")) & ((F.col("ord") > F.col("start")) | (F.col("whole") & (F.col("ord") == F.col("start")))))
-        above = F.regexp_replace("path", r"(?s)(/[^/*]*|\*)$", "")
-        below = rows.where("path <> ''").withColumn("above", above).join(table, (F.col("above") == F.col("parent")) & ((F.col("ord") > F.col("start")) | (F.col("whole") & (F.col("ord") == F.col("start")))))
-        found = (
-            below.groupBy("parent", "path")
-            .agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.collect_set("kind").alias("kinds"), F.bool_or("nullable").alias("nullable"), F.bool_and("required").alias("required"))
-            .collect()
-        )
-        steps: dict[str, list[str]] = {p: [] for p in scopes}
-        for r in found:
-            if not r["path"].endswith("*"):
-                steps[r["parent"]].append(r["path"][len(r["parent"]) :])
-        names = spark.createDataFrame(list(steps.items()), "parent2 string, known array<string>")
-        lacking = own.join(names, F.col("parent") == F.col("parent2")).select("parent", "ord", F.explode(F.array_except("known", "names")).alias("step"))
-        last = {(r[0], r[0] + r[1]): r[2] for r in lacking.groupBy("parent", "step").agg(F.max("ord")).collect()}
-        scopes_below: dict[str, _Scope] = {}
-        for r in sorted(found, key=lambda r: r["path"]):
-            scope = scopes[r["parent"]]
-            if scope.merged.kind not in ("object", "array"):
-                continue
-            node = values.Node(_joined(sorted(r["kinds"])), r["nullable"] or (r["n"] > 1 and "null" in r["kinds"]))
-            if r["path"].endswith("*"):
-                scope.merged.items = node
-                below_scope = _Scope(scope.start, True, node) if scope.whole else _Scope(r["first"], False, node)
-            else:
-                gaps = [last.get((r["parent"], r["path"])), None if scope.whole and r["first"] == scope.start else r["first"]]
-                gap = max((g for g in gaps if g is not None), default=None)
-                node.nullable = node.nullable or gap is not None
-                scope.merged.members = [*(scope.merged.members or []), (values.step_name(r["path"][len(r["parent"]) :]), r["required"] and gap is None, node)]
-                below_scope = _Scope(scope.start, True, node) if gap is None else _Scope(gap, False, node)
-            if node.kind in ("object", "array"):
-                scopes_below[r["path"]] = below_scope
-        scopes = scopes_below
-    rows.unpersist()
-    return root
+    A schema has a node for each path, and so has the driver's memory: one of over
+    ``max_paths`` is an error. ``merged_nodes`` gives nodes as rows, however many."""
+    nodes = merged_nodes(df, json_col, order_by, on_error=on_error).drop("g")
+    if (paths := nodes.limit(max_paths + 1).count()) > max_paths:
+        raise ValueError(f"the schema has over {paths - 1} paths; replace keys that hold data first, or raise max_paths")
+    return values.assembled(nodes.toArrow().to_pylist())
 
 
 def batch_schema(df: DataFrame, json_col: str, order_by: str, pretty: bool = False, on_error: str = "fail") -> str:
@@ -140,42 +274,14 @@ def spark_type(node: values.Node):
 
 
 def grouped_schemas(df: DataFrame, by: list[str], json_col: str, order_by: str) -> DataFrame:
-    """The merged schema of each of many groups: ``(by..., schema)``.
-
-    A group's documents reach one task in their order and are folded as they
-    come, so memory holds a batch and one schema, whatever the group's size; the
-    fold can't be split, as it depends on the order. ``merge`` spreads a single
-    large batch over tasks."""
-    import pyarrow as pa
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    keys = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)])
-    rows = df.select(F.col(json_col).alias("json"), keys.alias("keys"), F.col(order_by).alias("ord"))
-
-    def fold(batches):
-        last, state = None, None
-
-        def out(row: pa.StructArray, state) -> pa.RecordBatch:
-            text = "{}" if state is None else jsontext.dump(values.draft(state))
-            return pa.RecordBatch.from_arrays([row, pa.array([text])], names=["keys", "schema"])
-
-        for batch in batches:
-            keys = batch.column(1)
-            for i, (text, key) in enumerate(zip(batch.column(0).to_pylist(), keys.to_pylist(), strict=True)):
-                if last is not None and key != last[0]:
-                    yield out(last[1], state)
-                    last, state = None, None
-                if last is None:
-                    last = key, keys.slice(i, 1)
-                if text is not None:
-                    node = values.analyse(jsontext.parse(text))
-                    state = node if state is None else values.merged(state, node)
-        if last is not None:
-            yield out(last[1], state)
-
-    kept = ", ".join(f"k{i}: {kinds[c]}" for i, c in enumerate(by))
-    found = rows.repartition("keys").sortWithinPartitions("keys", "ord").mapInArrow(fold, f"keys struct<{kept}>, schema string")
-    return found.select(*[F.col(f"keys.k{i}").alias(c) for i, c in enumerate(by)], "schema")
+    """The merged schema of each group: ``(by..., schema)``. A group's documents are
+    spread over tasks as all documents are; a task holds a schema at a time."""
+    nodes = merged_nodes(df, json_col, order_by, by)
+    listed = nodes.groupBy("g").agg(F.collect_list(F.struct("path", "kind", "nullable", "required")).alias("nodes"))
+    text = F.arrow_udf(lambda lists: pa.array([jsontext.dump(values.draft(values.assembled(x))) for x in lists.to_pylist()], pa.string()), "string")
+    groups = df.select(F.struct(*[df[c].alias(f"k{i}") for i, c in enumerate(by)]).alias("g")).distinct()
+    found = groups.join(listed.select("g", text("nodes").alias("schema")), "g", "left")
+    return found.select(*[F.col(f"g.k{i}").alias(c) for i, c in enumerate(by)], F.coalesce("schema", F.lit("{}")).alias("schema"))
 
 
 merged = values.merged

@@ -140,7 +140,7 @@ def schema_single(spark, sf_dir):
 def schema_by_group(spark, sf_dir):
     docs = order_docs(spark, sf_dir, dirty=True)
     keyed = docs.join(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("okey"), F.col("o_custkey").alias("cust")), "okey")
-    return schema.grouped_schemas(keyed, ["cust"], "json", "okey").select("cust", F.col("schema").contains('"null"').alias("has_null"))
+    return schema.grouped_schemas(keyed, ["cust"], "json", "okey")
 
 
 def members_of_orders(spark, sf_dir):
@@ -240,6 +240,14 @@ def schema_with_gaps(spark, sf_dir):
     return spark.createDataFrame(schema.listed(node), "path string, type string, nullable boolean, required boolean")
 
 
+def schema_of_many_names(spark, sf_dir):
+    """Every order is a name of its own: its value is forgotten at the next document."""
+    o = _table(spark, sf_dir, "orders")
+    json = F.concat(F.lit('{"all":{"n":1},"o'), F.col("o_orderkey"), F.lit('":{"p":"'), F.col("o_orderpriority"), F.lit('"}}'))
+    nodes = schema.merged_nodes(o.select("o_orderkey", json.alias("json")), "json", "o_orderkey")
+    return nodes.select("path", F.col("kind").alias("type"), "nullable", "required")
+
+
 def schema_types_by_group(spark, sf_dir):
     docs = order_docs(spark, sf_dir, dirty=True)
     keyed = docs.join(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("okey"), F.col("o_custkey").alias("cust")), "okey")
@@ -265,7 +273,7 @@ QUERIES = {
         flatten_then_agg, flatten_conversations, flatten_typed, rebuild_flat_documents, remove_nulls_orders, remove_empty_orders,
         replace_keys_orders, replace_values_orders, replace_on_rows, fused_pipeline, schema_orders, schema_single, schema_by_group,
         members_of_orders, edited_orders, compared_orders, sql_functions, rows_lifted, path_statistics,
-        sql_functions_on_bad_text, error_places, bad_documents, put_from_column, minified_documents, native_numbers, schema_of_arrays, schema_with_gaps, schema_types_by_group,
+        sql_functions_on_bad_text, error_places, bad_documents, put_from_column, minified_documents, native_numbers, schema_of_arrays, schema_with_gaps, schema_types_by_group, schema_of_many_names,
     )
 }
 
@@ -325,7 +333,12 @@ ORACLES = {
         union all select 'lines', 'array', false, true union all select 'lines[]', 'object', false, true
         union all select 'lines[].ln', 'integer', false, true union all select 'lines[].flag', 'string', false, true
         union all select 'lines[].qty', case when whole then 'integer' else 'number' end, false, true from q""",
-    "schema_by_group": """select o_custkey as cust, bool_or(o_orderstatus = 'F') as has_null from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey) group by 1""",
+    "schema_by_group": f"""with {_LINES}, f as (select o_custkey as cust, bool_and(o_orderstatus = 'F') as all_null, bool_or(o_orderstatus = 'F') as some_null, bool_and(qty = floor(qty)) as whole
+            from orders join l on okey = o_orderkey where i = 0 group by 1)
+        select cust, '{{"$schema":"http://json-schema.org/draft-07/schema#","type":"object","properties":{{"lines":{{"type":"array","items":{{"type":"object","properties":{{"flag":{{"type":"string"}},"ln":{{"type":"integer"}},"qty":{{"type":"'
+            || case when whole then 'integer' else 'number' end || '"}}}},"required":["flag","ln","qty"]}}}},"okey":{{"type":"integer"}},"priority":{{"type":"string"}},"status":{{"type":'
+            || case when all_null then '["null","null"]' when some_null then '["string","number","integer","boolean","object","array","null"]' else '"string"' end
+            || '}}}},"required":["lines","okey","priority"' || case when some_null then '' else ',"status"' end || ']}}' as schema from f""",
     "members_of_orders": f"""with {_DIRTY}, {_LINES} select okey, (select count(*) from l where l.okey = o.okey) as n_lines, status, (select qty::double from l where l.okey = o.okey and i = 0) as first_qty,
         case when status is null then 'null' else 'string' end as status_kind, false as has_exact, true as valid from o""",
     "edited_orders": f"""with {_O} select okey, '[0,1,2]' as extra, '{{"okey":' || okey || ',"status":"new","priority":"' || priority || '","extra":[1,2]}}' as json from o""",
@@ -353,7 +366,10 @@ ORACLES = {
     "schema_of_arrays": """select case when c_custkey % 2 = 0 then '{}' else '{"$schema":"http://json-schema.org/draft-07/schema#","type":"object","properties":{"a":{"type":"number"},"b":{"type":["null","null"]}},"required":["a"]}' end as schema, count(*) as n from customer group by 1""",
     "schema_with_gaps": """select '' as path, 'object' as type, false as nullable, true as required union all select 'p', 'object', true, false
         union all select 'p.q', 'integer', true, false from customer having max(c_custkey) > max(case when c_custkey % 7 = 0 then c_custkey end)""",
+    "schema_of_many_names": """with o as (select o_orderkey, row_number() over (order by o_orderkey) as i, count(*) over () as n from orders)
+        select '' as path, 'object' as type, false as nullable, true as required union all select '/all', 'object', false, true union all select '/all/n', 'integer', false, true
+        union all select '/o' || o_orderkey, 'object', n > 1, n = 1 from o union all select '/o' || o_orderkey || '/p', 'string', false, true from o where n = 1""",
     "schema_types_by_group": """select o_custkey as cust, case when bool_and(o_orderstatus = 'F') then '["null","null"]' when bool_or(o_orderstatus = 'F') then '["string","number","integer","boolean","object","array","null"]' else 'string' end as status,
-        case when bool_or(o_orderstatus = 'F') then '["okey","priority","lines"]' else '["okey","status","priority","lines"]' end as required
+        case when bool_or(o_orderstatus = 'F') then '["lines","okey","priority"]' else '["lines","okey","priority","status"]' end as required
         from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey) group by 1""",
 }

@@ -61,6 +61,28 @@ def test_gaps(spark, docs, want):
     assert jsontext.dump(jsontext.Members(got[1:])) == want
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_groups_equal_their_folds(spark, seed):
+    """One group has half of all documents; chunks of three documents follow each other."""
+    draw = random.Random(seed)
+    rows = [(draw.choice(["hot", "a", None]), i, json.dumps(uniform(draw, 2))) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, ord long, json string").repartition(5)
+    nodes = schema.merged_nodes(df, "json", "ord", ["g"], size=3).collect()
+    for g in ("hot", "a", None):
+        got = values.assembled([r.asDict() for r in nodes if r.g.k0 == g])
+        assert canonical(got) == canonical(fold([d for h, _, d in rows if h == g]))
+    texts = {r.g: r.schema for r in schema.grouped_schemas(df, ["g"], "json", "ord").collect()}
+    assert texts.keys() == {"hot", "a", None} and all(canonical(values.assembled([r.asDict() for r in nodes if r.g.k0 == g])) for g in texts)
+
+
+def test_many_names(spark):
+    """A name for each document; nothing is made of the names that a document lacks."""
+    docs = [f'{{"n{i}":{{"x":1}},"all":{{"y":{i}}}}}' for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(docs)), "ord long, json string")
+    got = schema.merge(df, "json", "ord")
+    assert len(got.members) == 3001 and canonical(got) == canonical(fold(docs))
+
+
 def test_empty_and_groups(spark):
     empty = spark.createDataFrame([], "ord long, json string")
     assert schema.batch_schema(empty, "json", "ord") == "{}"
