@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsontext, values
@@ -33,7 +33,7 @@ from ..functions import jsontext, values
 KINDS = ["null", "boolean", "integer", "number", "string", "array", "object", "mixed"]
 
 #: Documents to a chunk of a range; scopes that are sent to all tasks at most.
-CHUNK, FEW = 10_000, 50_000
+CHUNK, FEW = 100_000, 50_000
 _STRETCH = [("chunk", pa.int64()), ("above", pa.string()), ("path", pa.string()), ("kind", pa.int64()), ("nullable", pa.bool_()), ("required", pa.bool_()), ("lo", pa.int64()), ("n", pa.int64()), ("own", pa.int64())]
 _STRETCH_SQL = "chunk bigint, above string, path string, kind bigint, nullable boolean, required boolean, lo bigint, n bigint, own bigint"
 
@@ -122,27 +122,14 @@ def stretches(df: DataFrame, json_col: str, order_by: str, by: list[str] | None
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"g {kind}, {_STRETCH_SQL}")
 
 
-def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Places counted over all documents, and how many each path has."""
-    part = F.shiftright("chunk", 32)
-    counts = rows.groupBy("g", "path", part.alias("part"), "chunk").agg(F.sum("n").alias("n"))
-    # Sums of ranges first, then of the chunks in each: no window holds more than a range's chunks or all ranges.
-    parts = counts.groupBy("g", "path", "part").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("chunk", "n"))).alias("chunks"))
-    paths = parts.groupBy("g", "path").agg(F.sort_array(F.collect_list(F.struct("part", "n", "chunks"))).alias("parts"), F.sum("n").alias("total"))
-
-    def upto(items: Column, item: str, value: Column) -> Column:
-        """Items with the sum of those before."""
-        start = F.struct(value.alias("sum"), F.slice(F.transform(items, lambda x: F.struct(x[item].alias("item"), x["n"].alias("before"))), 1, 0).alias("out"))
-        step = lambda acc, x: F.struct((acc["sum"] + x["n"]).alias("sum"), F.concat(acc["out"], F.array(F.struct(x[item].alias("item"), acc["sum"].alias("before")))).alias("out"))
-        return F.aggregate(items, start, step)["out"]
-
-    each = paths.select("g", "path", F.inline(F.arrays_zip(F.col("parts.chunks").alias("chunks"), upto(F.col("parts"), "part", F.lit(0).cast("long")).alias("at"))))
-    before = each.select("g", "path", F.inline(upto(F.col("chunks"), "chunk", F.col("at.before"))))
-    own = before.select(F.col("g"), F.col("path"), F.col("item").alias("chunk"), F.col("before").alias("own_before"))
-    parent = before.select(F.col("g"), F.col("path").alias("above"), F.col("item").alias("chunk"), F.col("before").alias("lo_before"))
-    placed = rows.join(own, ["g", "path", "chunk"]).join(parent, ["g", "above", "chunk"])
-    placed = placed.select("g", "chunk", "above", "path", "kind", "nullable", "required", (F.col("lo") + F.col("lo_before")).alias("lo"), "n", (F.col("own") + F.col("own_before")).alias("own"))
-    return placed, paths.select("g", "path", "total")
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Places counted over all documents, and with each row how many its parent has."""
+    counts = rows.groupBy("g", "path", "chunk").agg(F.sum("n").alias("n"))
+    of_path = Window.partitionBy("g", "path")  # a row for each chunk
+    before = counts.select("g", "path", "chunk", (F.sum("n").over(of_path.orderBy("chunk")) - F.col("n")).alias("before"), F.sum("n").over(of_path).alias("places"))
+    parent = before.select("g", F.col("path").alias("above"), "chunk", F.col("before").alias("lo_before"), "places")
+    placed = rows.join(before.drop("places"), ["g", "path", "chunk"]).join(parent, ["g", "above", "chunk"])
+    return placed.select("g", "chunk", "above", "path", "kind", "nullable", "required", (F.col("lo") + F.col("lo_before")).alias("lo"), "n", (F.col("own") + F.col("before")).alias("own"), "places")
 
 
 _SUMMARY = ["first", "first_own", "tail", "tail_own", "last"]
@@ -176,8 +163,7 @@ def _joined(mask: Column) -> Column:
 def merged_nodes(df: DataFrame, json_col: str, order_by: str, by: list[str] | None = None, on_error: str = "fail", size: int = CHUNK) -> DataFrame:
     """``(g, path, kind, nullable, required)``: the nodes of the merged schema of each
     group, ``g`` being a struct of the columns of ``by``, or 0 for all documents."""
-    rows, totals = _numbered(_kept(stretches(df, json_col, order_by, by, on_error, size)))
-    rows, totals = _kept(rows), _kept(totals)
+    rows = _kept(_numbered(_kept(stretches(df, json_col, order_by, by, on_error, size))))
     null = 1 << KINDS.index("null")
     sums = [F.bit_or("kind").alias("kinds"), F.bool_or("nullable").alias("nullable"), F.bool_and("required").alias("required"), F.sum("n").alias("n")]
     again = [F.bit_or("kinds").alias("kinds"), F.bool_or("nullable").alias("nullable"), F.bool_and("required").alias("required"), F.sum("n").alias("n")]
@@ -187,19 +173,16 @@ def merged_nodes(df: DataFrame, json_col: str, order_by: str, by: list[str] | No
     found = [level]
     while True:
         # What is below counts from the parent's place after ``after`` on.
-        scopes = level.where(F.col("kind").isin("object", "array") & F.col("after").isNotNull())
-        scopes = scopes.join(totals, ["g", "path"]).select("g", F.col("path").alias("above"), "after", "whole", F.col("total").alias("places"))
+        scopes = level.where(F.col("kind").isin("object", "array") & F.col("after").isNotNull()).select("g", F.col("path").alias("above"), "after", "whole")
         few = scopes.limit(FEW + 1).count()
         if not few:
             break
-        # At the root the path and its parent's are the same.
         below = rows.where("path <> ''").join(F.broadcast(scopes) if few <= FEW else scopes, ["g", "above"])
         skip = F.greatest(F.col("after") + 1 - F.col("lo"), F.lit(0))
         below = below.withColumn("skip", skip).where("skip < n").select("*", (F.col("lo") + F.col("skip")).alias("first"), (F.col("own") + F.col("skip")).alias("first_own"))
         below = below.withColumn("last", F.col("lo") + F.col("n") - 1).withColumn("n", F.col("n") - F.col("skip")).withColumn("tail", F.col("first")).withColumn("tail_own", F.col("first_own"))
         keys = ["g", "above", "path", "after", "whole", "places"]
-        chunks = _in_order(below.withColumn("part", F.shiftright("chunk", 32)), [*keys, "part", "chunk"], sums)
-        whole = _in_order(_in_order(chunks, [*keys, "part"], again), keys, again)
+        whole = _in_order(_in_order(below, [*keys, "chunk"], sums), keys, again)
         items = F.col("path").endswith("*")
         ends, broken = F.col("last") < F.col("places"), F.col("tail") > F.col("first")
         starts = F.col("whole") & (F.col("first") == F.col("after") + 1)
@@ -233,9 +216,10 @@ def merge(df: DataFrame, json_col: str, order_by: str, on_error: str = "fail", m
     A schema has a node for each path, and so has the driver's memory: one of over
     ``max_paths`` is an error. ``merged_nodes`` gives nodes as rows, however many."""
     nodes = merged_nodes(df, json_col, order_by, on_error=on_error).drop("g")
-    if (paths := nodes.limit(max_paths + 1).count()) > max_paths:
-        raise ValueError(f"the schema has over {paths - 1} paths; replace keys that hold data first, or raise max_paths")
-    return values.assembled(nodes.toArrow().to_pylist())
+    found = nodes.limit(max_paths + 1).toArrow()
+    if len(found) > max_paths:
+        raise ValueError(f"the schema has over {max_paths} paths; replace keys that hold data first, or raise max_paths")
+    return values.assembled(found.to_pylist())
 
 
 def batch_schema(df: DataFrame, json_col: str, order_by: str, pretty: bool = False, on_error: str = "fail") -> str:
