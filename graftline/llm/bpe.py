@@ -74,6 +74,38 @@ from incoming join vocabulary v using (id) group by block order by block
 """
 
 
+def _ranges(points: list[int]) -> str:
+    """Code points, ascending, as the ranges of a character class."""
+    at = np.array(points)
+    edges = np.flatnonzero(np.diff(at) > 1)
+    first, last = at[np.concatenate([[0], edges + 1])], at[np.append(edges, len(at) - 1)]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first.tolist(), last.tolist(), strict=True))
+
+
+def as_the_library(pattern: str) -> tuple[str, set[str]]:
+    """The pattern with classes of characters as the library has them, and its letters.
+
+    The two expression engines know different versions of Unicode. What belongs to a
+    class is read off the library: with the class as its pattern, and bytes as its
+    tokens, it gives the bytes of just these characters."""
+    import regex
+    import tiktoken
+
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    letters: set[str] = set()
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        bytes_alone = tiktoken.Encoding("characters", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        true, own = set(bytes(bytes_alone.encode_ordinary(text)).decode()), set(regex.findall(name, text))
+        letters = letters or true
+        more, less = sorted(map(ord, true - own)), sorted(map(ord, own - true))
+        inner = name + (f"||[{_ranges(more)}]" if more else "")
+        inner = f"[{inner}]--[{_ranges(less)}]" if less else inner
+        pattern = pattern.replace(name, f"[{inner}]")
+        if name == r"\s":
+            pattern = pattern.replace(r"\S", f"[^{inner}]")
+    return f"(?V1){pattern}", letters
+
+
 class Coder:
     """The tables of one rank file, and the units met so far."""
 
@@ -87,7 +119,12 @@ class Coder:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks, pa.binary())}))
+        pattern, letters = as_the_library(pattern)
         self.pattern, self.tokens, self.ranks = regex.compile(pattern), pa.array(ranks, pa.binary()), np.array(list(ranks.values()))
+        # Arrow's letters tell single words apart, if the library takes all of them for letters.
+        every = pa.array([chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000])
+        known = set(every.filter(pc.match_substring_regex(every, r"\pL")).to_pylist()) <= letters
+        self.single_word = r"^ ?\pL+$" if known else "^ ?[A-Za-z]+$"
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         splits = np.fromiter((x for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks for x in (ranks[t[:k]], ranks[t[k:]], rank)), dtype=np.int32).reshape(-1, 3)
         self._table("merges", pa.table({"l": splits[:, 0].copy(), "r": splits[:, 1].copy(), "merged": splits[:, 2].copy()}))
@@ -111,7 +148,7 @@ class Coder:
 
     def code(self, texts: pa.Array) -> pa.Array:
         """The ids of texts, which the pattern splits into words."""
-        single = pc.match_substring_regex(texts, r"^ ?\pL+$")
+        single = pc.match_substring_regex(texts, self.single_word)
         alone = texts.filter(single).dictionary_encode()
         split = [self.pattern.findall(t) for t in texts.filter(pc.invert(single)).to_pylist()]
         words = list({w for ws in split for w in ws})

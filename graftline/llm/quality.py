@@ -4,8 +4,10 @@ Lines are normalised and hashed; for every host the distinct documents that
 hold a line are counted. A line in more documents than the limit is
 boilerplate: it is removed, and a document that keeps too little is rejected.
 
-Documents of one host with one text are one document: exact copies, of whatever
-ids, and repeated rows count once, in the lines' counts and in the host's.
+A document is an id with its text: repeated rows count once, and an id with two texts
+is two documents. Exact copies under ids of their own are documents of their own, so a
+line that copies of one page share is as frequent as there are copies; with
+``LineRules(copies_once=True)`` all of a host's copies of a text are one document.
 
 Defined results: a null text is an empty one; a null host is a host of its own;
 ids may be null and may repeat, they only name the result's rows; documents
@@ -30,12 +32,14 @@ class LineRules:
     """``min_docs`` and ``max_share``: a line is above the limit in a host if more
     distinct documents hold it than both ``min_docs`` and ``max_share`` of the
     host's distinct documents. A document is depleted if it has lost lines and
-    keeps under ``min_words`` words or under ``min_kept`` of its words."""
+    keeps under ``min_words`` words or under ``min_kept`` of its words.
+    ``copies_once`` counts a host's exact copies as one document."""
 
     min_docs: int = 20
     max_share: float = 0.005
     min_words: int = 3
     min_kept: float = 0.1
+    copies_once: bool = False
 
 
 def repeat_words(ws: Column, window: int = 5) -> Column:
@@ -107,35 +111,37 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """Only the columns needed, with names of our own: equal texts share a key."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str, copies_once: bool = False) -> DataFrame:
+    """Only the columns needed, with names of our own. ``key`` tells documents apart."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.select(docs[id_col].alias("doc"), docs[host_col].alias("host"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    text_hash = F.xxhash64(text)
+    key = text_hash if copies_once else F.xxhash64(docs[id_col], text_hash)
+    return docs.select(docs[id_col].alias("doc"), docs[host_col].alias("host"), text.alias("text"), text_hash.alias("text_hash"), key.alias("key"))
 
 
-def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``(host, text_hash, line, n)``: for each document, place and line with a word,
-    the hash of the line's normal form and its words."""
-    keyed = _keyed(docs, id_col, text_col, host_col)
+def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", copies_once: bool = False) -> DataFrame:
+    """``(host, text_hash, key, at, line, n)``: for each document, place and line with
+    a word, the hash of the line's normal form and its words."""
+    keyed = _keyed(docs, id_col, text_col, host_col, copies_once)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     n = lambda x: 1 + F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))  # noqa: E731  its words have one blank between them
     hashed = F.transform(F.transform(lines, normal_line), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("line"), n(x).alias("n")))
-    return keyed.select("host", "text_hash", F.inline(hashed))
+    return keyed.select("host", "text_hash", "key", F.inline(hashed))
 
 
-def host_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def host_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", copies_once: bool = False) -> DataFrame:
     """``(host, docs)``: the number of distinct documents of each host, those
     without words included."""
-    each = _keyed(docs, id_col, text_col, host_col).groupBy("host", "text_hash").agg(F.lit(1).alias("one"))
+    each = _keyed(docs, id_col, text_col, host_col, copies_once).groupBy("host", "key").agg(F.lit(1).alias("one"))
     return each.groupBy("host").agg(F.count("*").alias("docs"))
 
 
 def frequent_lines(lines: DataFrame, sizes: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """Lines above the limits, from the rows of ``document_lines`` and
     ``host_sizes``: ``(host, line, n, docs)``. A line's documents are first told
-    apart by host, line and text, so one that very many documents hold is spread
+    apart by host, line and key, so one that very many documents hold is spread
     over all tasks, and then counted with partial sums."""
-    held = lines.groupBy("host", "line", "text_hash").agg(F.lit(1).alias("one"))
+    held = lines.groupBy("host", "line", "key").agg(F.lit(1).alias("one"))
     counts = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > rules.min_docs)
     above = counts.join(sizes.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > rules.max_share * F.col("docs"))
     return above.select("host", "line", "n", "docs")
@@ -144,8 +150,8 @@ def frequent_lines(lines: DataFrame, sizes: DataFrame, rules: LineRules = LineRu
 def removed_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Documents with lines above the limits: ``(host, text_hash, removed_words,
     removed)``; ``removed`` holds the hashes of the lines to remove."""
-    lines = stored(document_lines(docs, id_col, text_col, host_col), "lines")
-    often = stored(frequent_lines(lines, host_sizes(docs, id_col, text_col, host_col), rules), "frequent-lines").select(F.col("host").alias("h"), F.col("line").alias("l"))
+    lines = stored(document_lines(docs, id_col, text_col, host_col, rules.copies_once), "lines")
+    often = stored(frequent_lines(lines, host_sizes(docs, id_col, text_col, host_col, rules.copies_once), rules), "frequent-lines").select(F.col("host").alias("h"), F.col("line").alias("l"))
     return (
         lines.join(often, F.col("line").eqNullSafe(F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
         .groupBy("host", "text_hash", "at", "line", "n")  # copies and repeated rows

@@ -34,10 +34,19 @@ def test_copies_count_once(spark):
     texts += [foot] * 200 + [f"{head}\n{foot}"] * 30  # with copies counted once, two more
     texts += ["a text that is copied\nin all of its lines"] * 50
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
-    found = {r.doc: r.removed_words for r in quality.judge(docs).collect() if r.removed_words}
+    found = {r.doc: r.removed_words for r in quality.judge(docs, quality.LineRules(copies_once=True)).collect() if r.removed_words}
     assert collections.Counter(found.values()) == {6: 270} and set(found) == set(range(270))
 
 
+def test_copies_count_by_their_ids(spark):
+    """Of 300 equal pages among 400 the line is boilerplate; rows that repeat aren't more documents."""
+    rows = [(i, "an equal line on many pages that all have nothing else on them" if i < 300 else f"own words {name(i)} and ten more of them that fill up the line", "s") for i in range(400)]
+    rows += [(1000, "a row of some words that is there many times over, always the same", "s")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc: r for r in quality.judge(docs).collect()}
+    assert [i for i, r in found.items() if r.removed_words] == [i for i, r in found.items() if not r.kept] and {i for i, r in found.items() if not r.kept} == set(range(300))
+
+
 def normal(line):
     line = re.sub(r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ", re.sub("[0-9]+", "0", line.lower()))
     return line.strip(" ")
@@ -46,12 +55,13 @@ def normal(line):
 def brute(rows, rules):
     """``(removed words, depleted, text that is left)`` of each row."""
     holds, pages = collections.defaultdict(set), collections.defaultdict(set)
-    for _, text, host in rows:
+    for i, text, host in rows:
         text = text or ""
-        pages[host].add(text)
+        key = text if rules.copies_once else (i, text)
+        pages[host].add(key)
         for x in text.split("\n"):
             if WORD.search(x):
-                holds[host, normal(x)].add(text)
+                holds[host, normal(x)].add(key)
     often = {k for k, texts in holds.items() if len(texts) > rules.min_docs and len(texts) > rules.max_share * len(pages[k[0]])}
     out = []
     for _, text, host in rows:
@@ -62,7 +72,7 @@ def brute(rows, rules):
     return out
 
 
-@pytest.mark.parametrize("rules", [quality.LineRules(), quality.LineRules(min_docs=5, max_share=0.05, min_kept=0.4)])
+@pytest.mark.parametrize("rules", [quality.LineRules(), quality.LineRules(copies_once=True), quality.LineRules(min_docs=5, max_share=0.05, min_kept=0.4)])
 def test_against_brute_force(spark, rules):
     """Pages that are mostly template, pages of one line, copies, other hosts, nulls."""
     draw = random.Random(9)
@@ -95,7 +105,8 @@ def test_against_brute_force(spark, rules):
 def test_hosts_are_counted_exactly(spark):
     rows = [(i % 5000, "no line" if i % 2 else " ", "a") for i in range(10_000)] + [(None, f"text {name(i)}", "b") for i in range(300)] + [(i, f"text {name(i)}", None) for i in range(7001)]
     docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, source string")
-    assert {r.host: r.docs for r in quality.host_sizes(docs).collect()} == {"a": 2, "b": 300, None: 7001}
+    assert {r.host: r.docs for r in quality.host_sizes(docs).collect()} == {"a": 5000, "b": 300, None: 7001}
+    assert {r.host: r.docs for r in quality.host_sizes(docs, copies_once=True).collect()} == {"a": 2, "b": 300, None: 7001}
 
 
 def test_share_of_a_host_is_exact(spark):

@@ -88,9 +88,12 @@ def test_copies_are_not_boilerplate(spark):
     text = "first line of a text that is copied\nand a second line that follows it\nand a third"
     own = [chr(97 + i % 26) + chr(97 + i // 26) for i in range(100)]  # digits don't tell lines apart
     rows = [(i, text, "s") for i in range(100)] + [(100 + i, f"own words of {w} {w}{w} stand here in a line\nfooter that is everywhere on this host\nlast {w}", "s") for i, w in enumerate(own)]
-    got = {r.doc: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc: r for r in quality.judge(docs, quality.LineRules(copies_once=True)).collect()}
     assert all(got[i].kept and got[i].removed_words == 0 for i in range(100))
     assert all(got[100 + i].removed_words == 7 for i in range(100))
+    by_id = {r.doc: r for r in quality.judge(docs).collect()}
+    assert not any(by_id[i].kept for i in range(100)) and all(by_id[100 + i].removed_words == 7 for i in range(100))
 
 
 def test_mixing(spark, docs, nothing):

@@ -146,8 +146,26 @@ def test_op8(spark, texts):
     assert {i: (r["fingerprint"], r["component_id"]) for i, r in found.items()} == {i: (f"{prints[i]:016x}", label[i]) for i in texts}
 
 
+def test_op7_letters(spark):
+    """Characters that one engine's Unicode has and the other's hasn't, and others, beside letters and digits."""
+    from graftline.llm import bpe
+
+    encoding = byte_pairs("byte_bpe_multi_50k.tiktoken")
+    points = [*range(0x20, 0xD800, 97), *range(0xE000, 0x110000, 997), 0x558, 0x88F, 0xA7CE, 0xA7D2, *range(0x11DB0, 0x11DDC), *range(0x323B0, 0x323C0), 0x33479]
+    rows = [(f"{c} {k}", form.replace("%", chr(c))) for c in points for k, form in enumerate(("x%.", "xx%s's", "1%x", "% a", "%%1%"))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = {r.doc: r.ids for r in bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
+    assert [i for i, t in rows if found[i] != encoding.encode_ordinary(t)] == []
+
+
 def test_op9(spark, texts):
+    from graftline.llm.quality import LineRules
+    from test_boilerplate import brute
+
     found = answer(spark, "op9_quality_rules")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in table("documents")]
+    for (i, *_), (removed, gone, _) in zip(rows, brute(rows, LineRules()), strict=True):
+        assert found[i]["removed_words"] == removed and found[i]["kept"] == (not found[i]["base_failed"] and not gone)
     assert found.keys() == texts.keys()
     for i, t in texts.items():
         ws, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
