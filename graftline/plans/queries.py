@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns, sql
-from ..operators import rows, schema
+from ..operators import native, rows, schema
 from ..sources import files
 
 
@@ -59,6 +59,11 @@ def flatten_order_docs(spark, sf_dir):
     return rows.flatten_rows(order_docs(spark, sf_dir), "json", ["okey"]).drop("ord")
 
 
+def flatten_orders_native(spark, sf_dir):
+    """The same rows with no Python in the plan."""
+    return native.leaf_rows(order_docs(spark, sf_dir), "json", ["okey"], others="fail", depth=3).drop("place")
+
+
 def flatten_order_text(spark, sf_dir):
     flat = order_docs(spark, sf_dir).select("okey", columns.flatten("json").alias("flat"))
     return flat.select("okey", F.length("flat").cast("long").alias("chars"), F.md5("flat").alias("digest"))
@@ -269,7 +274,7 @@ def path_statistics(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        flatten_events_props, flatten_events_exact, flatten_order_docs, flatten_order_text, paths_types_customer, paths_text_customer,
+        flatten_events_props, flatten_events_exact, flatten_order_docs, flatten_orders_native, flatten_order_text, paths_types_customer, paths_text_customer,
         flatten_then_agg, flatten_conversations, flatten_typed, rebuild_flat_documents, remove_nulls_orders, remove_empty_orders,
         replace_keys_orders, replace_values_orders, replace_on_rows, fused_pipeline, schema_orders, schema_single, schema_by_group,
         members_of_orders, edited_orders, compared_orders, sql_functions, rows_lifted, path_statistics,
@@ -308,6 +313,7 @@ ORACLES = {
     "flatten_events_props": _EVENTS,
     "flatten_events_exact": _EVENTS,
     "flatten_order_docs": _orders(_O),
+    "flatten_orders_native": _orders(_O),
     "flatten_order_text": f"""with {_O}, {_LINES}, t as (
         select okey, '{{"okey":' || okey || ',"status":"' || status || '","priority":"' || priority || '"' || (
             select string_agg(',"lines[' || i || '].ln":' || ln || ',"lines[' || i || '].qty":' || {_NUMBER.format("qty")} || ',"lines[' || i || '].flag":"' || flag || '"', '' order by i) from l where l.okey = o.okey) || '}}' as x from o)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import columns
+from . import arrays
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -14,8 +14,9 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def array_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, position, json)``: the items of a root array, one document each."""
-    return whole_files(spark, path).select("file", F.posexplode(columns.items("json")).alias("position", "json"))
+    """``(file, position, json)``: the items of a root array, one document each; a
+    file may be large, see ``arrays``."""
+    return arrays.array_items(spark, path)
 
 
 def line_files(spark: SparkSession, path: str) -> DataFrame:
