@@ -355,3 +355,19 @@ def put(col, key: str | int, json: str | Column, how: str = "add", case_sensitiv
         return _mapped(lambda value, text: jsontext.dump(value if text is None else changed(value, jsontext.parse(text))), "string", on_error)(col, json)
     constant = jsontext.parse(json)
     return pipeline(col, [lambda value: changed(value, constant)], on_error=on_error)
+
+
+def map_values(col, keys: tuple, change: Callable[[Column], Column], on_error: str = "fail") -> Column:
+    """The document with ``change`` applied to every value at ``keys``, in which
+    ``"*"`` stands for all members or items: ``map_values("json", ("lines", "*", "qty"),
+    lambda text: ...)``. ``change`` is a Spark expression from a value's text to another
+    text, null for the value as it was. The document is parsed once."""
+
+    def run(value):
+        around, found = values.cut_at(value, tuple(keys), jsontext.dump)
+        return {"around": around, "values": found}
+
+    parts = _mapped(run, "struct<around:array<string>,values:array<string>>", on_error)(col)
+    changed = F.transform(parts["values"], lambda x: F.coalesce(change(x), x))
+    texts = F.transform(F.arrays_zip(parts["around"].alias("a"), changed.alias("v")), lambda x: F.concat(x["a"], F.coalesce(x["v"], F.lit(""))))
+    return F.array_join(texts, "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +59,46 @@ def replace_strings(rows: DataFrame, pattern: str, replacement: str) -> DataFram
     return rows.withColumn("value", F.when(found, replacement).otherwise(F.col("value")))
 
 
+def _without(rows: DataFrame, ids: list[str], gone: Column, levels: int | None) -> DataFrame:
+    step = r"\[(\d+)\]"
+    index = F.regexp_extract_all("path", F.lit(step), F.lit(1))
+    if levels is None:
+        levels = rows.agg(F.max(F.size(index))).first()[0] or 0
+    # Dealt out by document once; the windows below need no shuffle of their own.
+    found = rows.repartition(*ids).withColumn("_gone", F.coalesce(gone, F.lit(False))).withColumn("_at", index)
+    shifts = []
+    for k in range(levels):
+        # The array that the k-th index is of, and whether the row is an item of it that goes.
+        above = F.regexp_extract("path", rf"^((?:.*?\[\d+\]){{{k}}}.*?)\[\d+\]", 1)
+        here = F.size("_at") > k
+        direct = F.col("_gone") & (F.size("_at") == k + 1) & F.col("path").rlike(r"\[\d+\]$")
+        found = found.withColumn("_above", F.when(here, above)).withColumn("_i", F.when(here, F.get("_at", F.lit(k)).cast("long")))
+        lower = Window.partitionBy(*ids, "_above").orderBy("_i").rangeBetween(Window.unboundedPreceding, -1)
+        found = found.withColumn(f"_s{k}", F.coalesce(F.sum(F.when(direct, 1).otherwise(0)).over(lower), F.lit(0)))
+        shifts.append(F.col(f"_s{k}"))
+    pieces = F.split("path", step, -1)
+    shift = F.array(*shifts) if shifts else F.array(F.lit(0))
+    moved = F.transform(pieces, lambda p, i: F.when(i < F.size("_at"), F.concat(p, F.lit("["), (F.get("_at", i).cast("long") - F.get(shift, i)).cast("string"), F.lit("]"))).otherwise(p))
+    found = found.withColumn("path", F.array_join(moved, "")).where("not _gone")
+    if "ord" in rows.columns:
+        found = found.withColumn("ord", F.row_number().over(Window.partitionBy(*ids).orderBy("ord")) - 1)
+    return found.select(*rows.columns)
+
+
+def remove_null_rows(rows: DataFrame, ids: list[str], levels: int | None = None) -> DataFrame:
+    """Leaf rows without nulls, as the documents without nulls would have them: where
+    an item goes, those after it in its array move up, level by level, by windows over
+    the array's rows. A window holds rows of one document. ``levels`` are the indices
+    to a path at most, found by an aggregate if not given. Names that hold an index in
+    brackets can't be told from items."""
+    return _without(rows, ids, F.col("type") == "null", levels)
+
+
+def remove_empty_rows(rows: DataFrame, ids: list[str], levels: int | None = None) -> DataFrame:
+    """``remove_null_rows`` for empty strings."""
+    return _without(rows, ids, (F.col("type") == "string") & (F.col("value") == ""), levels)
+
+
 def documents(rows: DataFrame, ids: list[str], name: str = "json") -> DataFrame:
     """Flat documents again from rows of leaves."""
     quoted = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', "$1")

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import columns, sql
-from ..operators import native, rows, schema
+from ..functions import columns, sql, variants
+from ..operators import native, nested, rows, schema
 from ..sources import files
 
 
@@ -266,6 +266,51 @@ def rows_lifted(spark, sf_dir):
     return rows.flatten_rows(docs, "json", ["n_nationkey"])
 
 
+def _typed_orders(spark, sf_dir):
+    """Orders as nested columns, with nulls and empty strings among their members and items."""
+    o, lines = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
+    flag = F.when(F.col("l_returnflag") == "N", "").when(F.col("l_returnflag") != "A", F.col("l_returnflag"))
+    line = F.struct("l_linenumber", "l_quantity", flag.alias("flag"))
+    lines = lines.groupBy(F.col("l_orderkey").alias("okey")).agg(F.sort_array(F.collect_list(line)).alias("l"))
+    status, priority = F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")), F.when(~F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority")).otherwise("")
+    items = F.transform("l", lambda x: F.struct(x["l_linenumber"].alias("ln"), x["flag"].alias("flag")))
+    o = o.select(F.col("o_orderkey").alias("okey"), F.struct(status.alias("status"), priority.alias("priority")).alias("head"))
+    return o.join(lines, "okey").select("okey", "head", items.alias("lines"), F.transform("l", lambda x: x["flag"]).alias("flags"))
+
+
+def nested_columns(spark, sf_dir):
+    """Nulls and empty strings removed, strings and names replaced, on nested columns."""
+    df = nested.remove_empty_strings(nested.remove_nulls(_typed_orders(spark, sf_dir)))
+    df = nested.replace_keys(nested.replace_values(df, "^[[:digit:]]-", "level", ["head"]), "^(ln|flags)$", "renamed")
+    return df.select("okey", F.col("head.status").alias("status"), F.col("head.priority").alias("priority"), F.to_json("lines", {"ignoreNullFields": "true"}).alias("lines"), F.array_join("renamed", "").alias("flags"))
+
+
+def removed_on_rows(spark, sf_dir):
+    """Null items removed from leaf rows: those after them move up."""
+    typed = _typed_orders(spark, sf_dir)
+    docs = typed.select("okey", F.to_json(F.struct("okey", "flags", F.transform("lines", lambda x: F.array(x["ln"].cast("string"), x["flag"])).alias("lines")), {"ignoreNullFields": "false"}).alias("json"))
+    return rows.remove_null_rows(rows.flatten_rows(docs, "json", ["okey"]), ["okey"]).select("okey", "ord", "path", "value")
+
+
+def doubled_quantities(spark, sf_dir):
+    """Every ``qty`` of the lines doubled, by a Spark expression, in one parse."""
+    twice = columns.map_values("json", ("lines", "*", "qty"), lambda text: (text.cast("double") * 2).cast("bigint").cast("string"))
+    return order_docs(spark, sf_dir).select("okey", twice.alias("json"))
+
+
+def members_native(spark, sf_dir):
+    """Members through VARIANT, with no Python in the plan."""
+    found = variants.extract(
+        F.col("json"),
+        n_lines=variants.size_at("lines"),
+        status=variants.string_at("STATUS"),
+        first_qty=variants.number_at("lines", 0, "qty"),
+        status_kind=variants.kind_at("status"),
+        has_exact=variants.has_at("Status", case_sensitive=True),
+    )
+    return order_docs(spark, sf_dir, dirty=True).select("okey", found.alias("x")).select("okey", "x.*").withColumn("valid", ~F.col("unsure")).drop("unsure")
+
+
 def path_statistics(spark, sf_dir):
     found = rows.flatten_rows(customer_docs(spark, sf_dir), "json", ["ckey"])
     return rows.path_statistics(found).select("path", "type", "n")
@@ -279,6 +324,7 @@ QUERIES = {
         replace_keys_orders, replace_values_orders, replace_on_rows, fused_pipeline, schema_orders, schema_single, schema_by_group,
         members_of_orders, edited_orders, compared_orders, sql_functions, rows_lifted, path_statistics,
         sql_functions_on_bad_text, error_places, bad_documents, put_from_column, minified_documents, native_numbers, schema_of_arrays, schema_with_gaps, schema_types_by_group, schema_of_many_names,
+        nested_columns, removed_on_rows, doubled_quantities, members_native,
     )
 }
 
@@ -309,6 +355,9 @@ _PLACES = """p as (select o_orderkey as okey, length('{"okey":' || o_orderkey ||
         length('{"okey":' || o_orderkey || ',"status":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"} ') as rest,
         case o_orderkey % 4 when 1 then colon when 3 then string end as place, case o_orderkey % 4 when 2 then rest else place end as strict_place from orders)"""
 
+_FLAG = "case l_returnflag when 'N' then '' when 'A' then null else l_returnflag end"
+_FLAGS = f"f as (select l_orderkey as okey, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, {_FLAG} nulls first) - 1 as i, l_linenumber as ln, {_FLAG} as flag from lineitem)"
+
 ORACLES = {
     "flatten_events_props": _EVENTS,
     "flatten_events_exact": _EVENTS,
@@ -353,6 +402,18 @@ ORACLES = {
         union all select okey, 'status', 'string', status from o where status is not null union all select okey, 'priority', 'string', priority from o""",
     "rows_lifted": """select n_nationkey, 0 as ord, 'n_nationkey' as path, 'integer' as type, n_nationkey::varchar as value from nation
         union all select n_nationkey, 1, 'n_name', 'string', n_name from nation union all select n_nationkey, 2, 'n_regionkey', 'integer', n_regionkey::varchar from nation""",
+    "nested_columns": f"""with {_FLAGS} select o_orderkey as okey, nullif(o_orderstatus, 'F') as status, case when not starts_with(o_orderpriority, '1') then case when regexp_matches(o_orderpriority, '^[0-9]-') then 'level' else o_orderpriority end end as priority,
+            '[' || string_agg('{{"renamed":' || ln || case when flag <> '' then ',"flag":"' || flag || '"' else '' end || '}}', ',' order by i) || ']' as lines, coalesce(string_agg(flag, '' order by i), '') as flags
+        from orders join f on okey = o_orderkey group by 1, 2, 3""",
+    "removed_on_rows": f"""with {_FLAGS}, k as (select okey, row_number() over (partition by okey order by i) - 1 as pos, flag from f where flag is not null),
+        p as (select okey, 0 as part, 0 as i, 0 as j, 'okey' as path, okey::varchar as value from (select distinct okey from f)
+            union all select okey, 1, pos, 0, 'flags[' || pos || ']', flag from k
+            union all select okey, 2, i, 0, 'lines[' || i || '][0]', ln::varchar from f union all select okey, 2, i, 1, 'lines[' || i || '][1]', flag from f where flag is not null)
+        select okey, (row_number() over (partition by okey order by part, i, j) - 1)::int as ord, path, value from p join orders on okey = o_orderkey""",
+    "doubled_quantities": f"""with {_O}, {_LINES} select okey, '{{"okey":' || okey || ',"status":"' || status || '","priority":"' || priority || '","lines":[' || (
+            select string_agg('{{"ln":' || ln || ',"qty":' || (qty * 2)::bigint || ',"flag":"' || flag || '"}}', ',' order by i) from l where l.okey = o.okey) || ']}}' as json from o""",
+    "members_native": f"""with {_DIRTY}, {_LINES} select okey, (select count(*) from l where l.okey = o.okey) as n_lines, status, (select qty::double from l where l.okey = o.okey and i = 0) as first_qty,
+        case when status is null then 'null' else 'string' end as status_kind, false as has_exact, true as valid from o""",
     "path_statistics": f"with {_CUSTOMER} select path, type, count(*) as n from c cross join {_PATHS} group by 1, 2",
     "schema_single": f"""with {_DIRTY}, {_LINES}, f as (select okey, case when qty = floor(qty) then 'integer' else 'number' end as qty from l where i = 0)
         select '{{"$schema":"http://json-schema.org/draft-07/schema#","type":"object","properties":{{"okey":{{"type":"integer"}},"status":{{"type":' || case when status is null then '["null","null"]' else '"string"' end
