@@ -35,7 +35,7 @@ KINDS = ["null", "boolean", "integer", "number", "string", "array", "object", "m
 #: Documents to a chunk of a range; scopes that are sent to all tasks at most.
 CHUNK, FEW = 100_000, 50_000
 _STRETCH = [("chunk", pa.int64()), ("above", pa.string()), ("path", pa.string()), ("kind", pa.int64()), ("nullable", pa.bool_()), ("required", pa.bool_()), ("lo", pa.int64()), ("n", pa.int64()), ("own", pa.int64())]
-_STRETCH_SQL = "chunk bigint, above string, path string, kind bigint, nullable boolean, required boolean, lo bigint, n bigint, own bigint"
+STRETCHES = "chunk bigint, above string, path string, kind bigint, nullable boolean, required boolean, lo bigint, n bigint, own bigint"
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def stretches(df: DataFrame, json_col: str, order_by: str, by: list[str] | None
         if chunk is not None and chunk.docs:
             yield out(held)
 
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"g {kind}, {_STRETCH_SQL}")
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"g {kind}, {STRETCHES}")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -163,7 +163,13 @@ def _joined(mask: Column) -> Column:
 def merged_nodes(df: DataFrame, json_col: str, order_by: str, by: list[str] | None = None, on_error: str = "fail", size: int = CHUNK) -> DataFrame:
     """``(g, path, kind, nullable, required)``: the nodes of the merged schema of each
     group, ``g`` being a struct of the columns of ``by``, or 0 for all documents."""
-    rows = _kept(_numbered(_kept(stretches(df, json_col, order_by, by, on_error, size))))
+    return merged_stretches(_kept(stretches(df, json_col, order_by, by, on_error, size)))
+
+
+def merged_stretches(found: DataFrame) -> DataFrame:
+    """``merged_nodes`` from the rows of ``stretches``. ``chunk`` may be of any type
+    that has an order: stretches of several batches follow each other in it."""
+    rows = _kept(_numbered(found))
     null = 1 << KINDS.index("null")
     sums = [F.bit_or("kind").alias("kinds"), F.bool_or("nullable").alias("nullable"), F.bool_and("required").alias("required"), F.sum("n").alias("n")]
     again = [F.bit_or("kinds").alias("kinds"), F.bool_or("nullable").alias("nullable"), F.bool_and("required").alias("required"), F.sum("n").alias("n")]
@@ -215,8 +221,12 @@ def merge(df: DataFrame, json_col: str, order_by: str, on_error: str = "fail", m
 
     A schema has a node for each path, and so has the driver's memory: one of over
     ``max_paths`` is an error. ``merged_nodes`` gives nodes as rows, however many."""
-    nodes = merged_nodes(df, json_col, order_by, on_error=on_error).drop("g")
-    found = nodes.limit(max_paths + 1).toArrow()
+    return gathered(merged_nodes(df, json_col, order_by, on_error=on_error), max_paths)
+
+
+def gathered(nodes: DataFrame, max_paths: int = 1_000_000) -> values.Node | None:
+    """One schema from its nodes; None for no nodes."""
+    found = nodes.drop("g").limit(max_paths + 1).toArrow()
     if len(found) > max_paths:
         raise ValueError(f"the schema has over {max_paths} paths; replace keys that hold data first, or raise max_paths")
     return values.assembled(found.to_pylist())

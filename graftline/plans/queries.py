@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import columns, sql, variants
-from ..operators import native, nested, rows, schema
+from ..functions import columns, sql, tables, variants
+from ..operators import equality, native, nested, rows, schema
 from ..sources import files
 
 
@@ -311,6 +311,33 @@ def members_native(spark, sf_dir):
     return order_docs(spark, sf_dir, dirty=True).select("okey", found.alias("x")).select("okey", "x.*").withColumn("valid", ~F.col("unsure")).drop("unsure")
 
 
+def equal_documents(spark, sf_dir):
+    """Orders whose documents are equal, with their members turned and other numbers' texts."""
+    docs = order_docs(spark, sf_dir)
+    turned = docs.select("okey", F.regexp_replace(F.regexp_replace("json", r'^\{("okey":\d+),("status":"[^"]*"),', "{$2 , $1.0,"), r'("ln":\d+),("qty":[0-9.]+),', "$2,$1.00,").alias("json"))
+    return equality.equal_documents(docs, turned, "json", "okey", "okey")
+
+
+def table_function(spark, sf_dir):
+    tables.register(spark)
+    order_docs(spark, sf_dir).createOrReplaceTempView("graftline_each")
+    return spark.sql("select d.okey, t.path, t.type, t.value from graftline_each d, lateral json_each(d.json) t")
+
+
+def table_function_members(spark, sf_dir):
+    tables.register(spark)
+    customer_docs(spark, sf_dir).createOrReplaceTempView("graftline_members")
+    return spark.sql("select d.ckey, t.ord, t.name, t.type, t.json from graftline_members d, lateral json_each(d.json, 'members') t")
+
+
+def table_function_schemas(spark, sf_dir):
+    tables.register(spark)
+    docs = order_docs(spark, sf_dir, dirty=True).join(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("okey"), F.col("o_custkey").alias("cust")), "okey")
+    docs.select("cust", "okey", F.col("json").alias("doc")).createOrReplaceTempView("graftline_schemas")
+    found = spark.sql("select * from json_schemas(table(select cust, okey, doc from graftline_schemas) partition by cust order by okey)")
+    return found.select(F.col("key").cast("long").alias("cust"), "docs", F.get_json_object("schema", "$.properties.status.type").alias("status"))
+
+
 def path_statistics(spark, sf_dir):
     found = rows.flatten_rows(customer_docs(spark, sf_dir), "json", ["ckey"])
     return rows.path_statistics(found).select("path", "type", "n")
@@ -324,7 +351,7 @@ QUERIES = {
         replace_keys_orders, replace_values_orders, replace_on_rows, fused_pipeline, schema_orders, schema_single, schema_by_group,
         members_of_orders, edited_orders, compared_orders, sql_functions, rows_lifted, path_statistics,
         sql_functions_on_bad_text, error_places, bad_documents, put_from_column, minified_documents, native_numbers, schema_of_arrays, schema_with_gaps, schema_types_by_group, schema_of_many_names,
-        nested_columns, removed_on_rows, doubled_quantities, members_native,
+        equal_documents, table_function, table_function_members, table_function_schemas, nested_columns, removed_on_rows, doubled_quantities, members_native,
     )
 }
 
@@ -402,6 +429,12 @@ ORACLES = {
         union all select okey, 'status', 'string', status from o where status is not null union all select okey, 'priority', 'string', priority from o""",
     "rows_lifted": """select n_nationkey, 0 as ord, 'n_nationkey' as path, 'integer' as type, n_nationkey::varchar as value from nation
         union all select n_nationkey, 1, 'n_name', 'string', n_name from nation union all select n_nationkey, 2, 'n_regionkey', 'integer', n_regionkey::varchar from nation""",
+    "equal_documents": f"with {_O} select okey as a, okey as b from o",
+    "table_function": _orders(_O),
+    "table_function_members": f"""with {_CUSTOMER} select c_custkey as ckey, 0 as ord, 'ckey' as name, 'integer' as type, c_custkey::varchar as json from c union all select c_custkey, 1, 'name', 'string', '"' || c_name || '"' from c
+        union all select c_custkey, 2, 'nation', 'object', '{{"key":' || n_nationkey || ',"name":"' || n_name || '","region":{{"key":' || r_regionkey || ',"name":"' || r_name || '"}}}}' from c""",
+    "table_function_schemas": """select o_custkey as cust, count(*) as docs, case when bool_and(o_orderstatus = 'F') then '["null","null"]' when bool_or(o_orderstatus = 'F') then '["string","number","integer","boolean","object","array","null"]' else 'string' end as status
+        from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey) group by 1""",
     "nested_columns": f"""with {_FLAGS} select o_orderkey as okey, nullif(o_orderstatus, 'F') as status, case when not starts_with(o_orderpriority, '1') then case when regexp_matches(o_orderpriority, '^[0-9]-') then 'level' else o_orderpriority end end as priority,
             '[' || string_agg('{{"renamed":' || ln || case when flag <> '' then ',"flag":"' || flag || '"' else '' end || '}}', ',' order by i) || ']' as lines, coalesce(string_agg(flag, '' order by i), '') as flags
         from orders join f on okey = o_orderkey group by 1, 2, 3""",

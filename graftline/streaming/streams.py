@@ -6,7 +6,6 @@ are. The schema of a stream grows with its batches.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -29,42 +28,40 @@ def path_counts(rows: DataFrame, time_col: str, window: str = "5 minutes", late:
 
 
 class RunningSchema:
-    """The merged schema of all batches so far.
+    """The merged schema of all batches so far, as if they were one batch: batches
+    follow each other, and documents of one are in the order of ``order_by``.
 
-    With a ``folder`` each batch's state is stored there, so that a restarted
-    query, or another process, goes on from it."""
+    What is kept of a batch are its stretches (see ``operators.schema``), as a file in
+    ``folder``; a batch that comes again writes the same file again. So nothing is held
+    between batches, a restarted query or another process goes on from the files, and
+    the schema is the one that all documents in one batch would give."""
 
     def __init__(self, json_col: str, order_by: str, seen: Callable[[int, values.Node], None] | None = None, folder: str | None = None):
         self.json_col, self.order_by, self.seen, self.folder = json_col, order_by, seen, folder
-        self.node: values.Node | None = None
-        self.done = -1
 
-    def _load(self, spark: SparkSession) -> None:
+    def _stored(self, spark: SparkSession) -> DataFrame | None:
         try:
-            last = spark.read.text(f"{self.folder}/*").agg(F.max_by("value", F.get_json_object("value", "$[0]").cast("long"))).first()[0]
+            return spark.read.schema(f"g int, batch bigint, {schema.STRETCHES}").parquet(f"{self.folder}/batch-*")
         except AnalysisException:  # nothing is stored yet
-            return
-        if last:
-            self.done, plain = json.loads(last)
-            self.node = plain and values.node_of(plain)
+            return None
+
+    def nodes(self, spark: SparkSession) -> DataFrame | None:
+        """``(path, kind, nullable, required)`` of the schema so far; None before any batch."""
+        found = self._stored(spark)
+        return found and schema.merged_stretches(found.withColumn("chunk", F.struct("batch", "chunk")).drop("batch")).drop("g")
+
+    def node(self, spark: SparkSession) -> values.Node | None:
+        found = self.nodes(spark)
+        return found and schema.gathered(found)
 
     def update(self, batch: DataFrame, number: int) -> None:
-        """For ``foreachBatch``. A batch that comes again is left out."""
-        if self.folder and self.done < 0:
-            self._load(batch.sparkSession)
-        if number <= self.done:
-            return
-        new = schema.merge(batch, self.json_col, self.order_by)
-        if new is not None:
-            self.node = new if self.node is None else values.merged(self.node, new)
-        self.done = number
-        if self.folder:
-            state = json.dumps([number, self.node and values.plain_node(self.node)])
-            batch.sparkSession.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{number % 8}")
-        if self.seen and self.node is not None:
-            self.seen(number, self.node)
+        """For ``foreachBatch``."""
+        found = schema.stretches(batch, self.json_col, self.order_by).withColumn("batch", F.lit(number).cast("long"))
+        found.write.mode("overwrite").parquet(f"{self.folder}/batch-{number:012}")
+        if self.seen and (node := self.node(batch.sparkSession)) is not None:
+            self.seen(number, node)
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        """State goes to ``schema`` below the checkpoint, if no folder is set."""
+        """Stretches go to ``schema`` below the checkpoint, if no folder is set."""
         self.folder = self.folder or f"{checkpoint.rstrip('/')}/schema"
         return stream.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint).start()

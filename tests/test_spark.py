@@ -135,15 +135,36 @@ def test_streams(spark, tmp_path):
     q = running.start(stream, str(tmp_path / "c2"))
     q.processAllAvailable()
     q.stop()
-    assert dict((n, s.kind) for n, _, s in running.node.members) == {"a": "object", "id": "integer"}
-    running.update(spark.range(0), 0)  # a batch that comes again
+    assert dict((n, s.kind) for n, _, s in running.node(spark).members) == {"a": "object", "id": "integer"}
     # Another process goes on from what is stored.
     (folder / "2.json").write_text('{"id":3}\n')
     again = streams.RunningSchema("json", "id")
     q = again.start(stream, str(tmp_path / "c2"))
     q.processAllAvailable()
     q.stop()
-    assert {n: (s.kind, s.nullable, must) for n, must, s in again.node.members} == {"a": ("object", True, False), "id": ("integer", False, True)}
+    assert {n: (s.kind, s.nullable, must) for n, must, s in again.node(spark).members} == {"a": ("object", True, False), "id": ("integer", False, True)}
+
+
+def test_a_stopped_stream_has_the_schema_of_one_batch(spark, tmp_path):
+    """Inner structure that a gap in another batch forgets, and one that lasts over batches."""
+    from graftline.operators import schema
+
+    lines = ['{"p":{"q":1},"s":{"t":1}}', '{"s":{"t":2.5}}', '{"p":{"q":2,"r":null},"s":{"t":1}}', '{"p":{"q":"x"},"s":{"t":1},"n":[{"a":1}]}', '{"p":{"q":1},"s":{"t":1},"n":[{"b":1}]}']
+    folder, seen = tmp_path / "in", []
+    folder.mkdir()
+    for i, line in enumerate(lines):
+        (folder / f"{i}.json").write_text(line + "\n")
+        stream = streams.json_lines(spark, f"file://{folder}").withColumn("id", F.lit(0))
+        query = streams.RunningSchema("json", "id", seen=lambda n, node: seen.append(n)).start(stream, str(tmp_path / "c"))
+        query.processAllAvailable()
+        query.stop()
+    assert seen == list(range(5))
+    last = streams.RunningSchema("json", "id", folder=str(tmp_path / "c" / "schema"))
+    want = schema.merge(spark.createDataFrame(list(enumerate(lines)), "id long, json string"), "json", "id")
+    assert last.node(spark) == want
+    last.update(spark.createDataFrame([(0, lines[4])], "id long, json string"), 4)  # the last batch again
+    assert last.node(spark) == want
+    assert streams.RunningSchema("json", "id", folder=str(tmp_path / "none")).node(spark) is None
 
 
 def test_sql(spark, docs):
