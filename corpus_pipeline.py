@@ -32,7 +32,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts, texts of under ten words or with many repeated windows,
     and depleted ones go. Copies and repeated rows are judged alike and stay or go
-    together; they count once in a line's documents."""
+    together; copies under ids of their own count in a line's documents, repeated
+    rows once."""
     return _counted(quality.clean(docs))
 
 
