@@ -42,7 +42,7 @@ from .units import UnitCoder, concat, cut, odd, offsets_of
 
 #: Units that a worker remembers; words to a query; bytes of text and ids to a slice;
 #: ids to a row of the decoding query.
-UNITS, QUERY_WORDS, SLICE_BYTES, SLICE_IDS, BLOCK = 1_000_000, 50_000, 12_000_000, 3_000_000, 2048
+UNITS, QUERY_WORDS, SLICE_BYTES, SLICE_IDS, BLOCK = 600_000, 50_000, 8_000_000, 2_000_000, 2048
 #: Bytes of the words that are encoded at once, and of those that go to a query of
 #: their own for its many turns; windows start every ``STEP`` bytes.
 WINDOW, SHORT, STEP = 128, 40, 64
@@ -74,15 +74,18 @@ from incoming join vocabulary v using (id) group by block order by block
 """
 
 
-def _ranges(points: list[int]) -> str:
+def _points(text: str) -> np.ndarray:
+    return np.unique(np.frombuffer(text.encode("utf-32-le"), dtype="<u4"))
+
+
+def _ranges(points: np.ndarray) -> str:
     """Code points, ascending, as the ranges of a character class."""
-    at = np.array(points)
-    edges = np.flatnonzero(np.diff(at) > 1)
-    first, last = at[np.concatenate([[0], edges + 1])], at[np.append(edges, len(at) - 1)]
+    edges = np.flatnonzero(np.diff(points) > 1)
+    first, last = points[np.concatenate([[0], edges + 1])], points[np.append(edges, len(points) - 1)]
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first.tolist(), last.tolist(), strict=True))
 
 
-def as_the_library(pattern: str) -> tuple[str, set[str]]:
+def as_the_library(pattern: str) -> tuple[str, np.ndarray]:
     """The pattern with classes of characters as the library has them, and its letters.
 
     The two expression engines know different versions of Unicode. What belongs to a
@@ -92,14 +95,15 @@ def as_the_library(pattern: str) -> tuple[str, set[str]]:
     import tiktoken
 
     text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    letters: set[str] = set()
+    letters = None
     for name in (r"\p{L}", r"\p{N}", r"\s"):
-        bytes_alone = tiktoken.Encoding("characters", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-        true, own = set(bytes(bytes_alone.encode_ordinary(text)).decode()), set(regex.findall(name, text))
-        letters = letters or true
-        more, less = sorted(map(ord, true - own)), sorted(map(ord, own - true))
-        inner = name + (f"||[{_ranges(more)}]" if more else "")
-        inner = f"[{inner}]--[{_ranges(less)}]" if less else inner
+        library = tiktoken.Encoding("characters", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        true = _points(bytes(library.encode_ordinary(text)).decode())
+        own = _points("".join(regex.findall(f"{name}+", text)))
+        letters = true if letters is None else letters
+        more, less = np.setdiff1d(true, own), np.setdiff1d(own, true)
+        inner = name + (f"||[{_ranges(more)}]" if len(more) else "")
+        inner = f"[{inner}]--[{_ranges(less)}]" if len(less) else inner
         pattern = pattern.replace(name, f"[{inner}]")
         if name == r"\s":
             pattern = pattern.replace(r"\S", f"[^{inner}]")
@@ -122,8 +126,8 @@ class Coder:
         pattern, letters = as_the_library(pattern)
         self.pattern, self.tokens, self.ranks = regex.compile(pattern), pa.array(ranks, pa.binary()), np.array(list(ranks.values()))
         # Arrow's letters tell single words apart, if the library takes all of them for letters.
-        every = pa.array([chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000])
-        known = set(every.filter(pc.match_substring_regex(every, r"\pL")).to_pylist()) <= letters
+        every = pa.array(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        known = np.isin(_points("".join(every.filter(pc.match_substring_regex(every, r"\pL")).to_pylist())), letters).all()
         self.single_word = r"^ ?\pL+$" if known else "^ ?[A-Za-z]+$"
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         splits = np.fromiter((x for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks for x in (ranks[t[:k]], ranks[t[k:]], rank)), dtype=np.int32).reshape(-1, 3)
