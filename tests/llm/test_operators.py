@@ -3,7 +3,9 @@ ties, repeated rows, empty tables and extra columns whose names clash."""
 
 import base64
 import collections
+import gzip
 import hashlib
+import io
 import math
 import random
 import re
@@ -308,6 +310,10 @@ def test_warc(spark, nothing):
         assert r.payload_bytes == len(html.encode()) and r.payload_digest == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
         assert r.refers_to == (None if r.page_id == first[html] else first[html]) and r.record_type == ("response" if r.refers_to is None else "revisit")
         assert (bytes(r.payload) if r.payload is not None else None) == (html.encode() if r.refers_to is None else None)
+    assert all(len({r.record_id for r in got if r.record_id.startswith(f"<urn:page:{i}:")}) == sum(r.page_id == i and r.refers_to is not None for r in got) for i in (2, 4))
+    key = lambda r: (r.page_id is None, r.page_id, r.url, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest)
+    spread = warc.read(warc.write(pages, shared_folder(spark, "warc"), hot_bytes=600)).collect()
+    assert sorted(map(key, spread), key=str) == sorted(map(key, got), key=str)
     large = warc.read(warc.write(pages, shared_folder(spark, "warc"), min_bytes=100)).collect()
     assert all(r.record_type == "response" for r in large)
     empty = spark.createDataFrame([], pages.schema)
@@ -315,8 +321,6 @@ def test_warc(spark, nothing):
 
 
 def test_warc_reader_finds_damage():
-    import io
-
     data = warc.record_bytes(1, "u", b"payload", warc.digest(b"payload"), None) * 3
     assert len(list(warc.read_records(io.BytesIO(data)))) == 3
     with pytest.raises(ValueError):
@@ -325,6 +329,44 @@ def test_warc_reader_finds_damage():
         list(warc.read_records(io.BytesIO(warc.record_bytes(1, "u", b"payload", warc.digest(b"other"), None))))
 
 
+def test_warc_of_others(spark, tmp_path):
+    """Records as other tools write them, without optional fields and of other types."""
+
+    def record(kind, block, *fields):
+        head = "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}-{len(block)}>", f"Content-Length: {len(block)}", *fields])
+        return gzip.compress(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = "Content-Type: application/http; msgtype=response"
+    sha = lambda x: "WARC-Payload-Digest: sha256:" + hashlib.sha256(x).hexdigest()
+    b32 = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nWiki\r\n5;x=y\r\npedia\r\n0\r\n\r\n"
+    made = [
+        record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http;msgtype=request"),
+        record("response", b"HTTP/1.1 200 OK\r\nX-Long: one\r\n two\r\n\r\nbody", http, "WARC-Target-URI: http://a/"),
+        record("response", chunked, http, "WARC-Payload-Digest: sha1:" + b32(b"Wikipedia")),
+        record("response", b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\ncut", http, "WARC-Truncated: length", sha(b"cut")),
+        record("resource", b"a file", "Content-Type: text/plain", "WARC-Block-Digest: md5:" + hashlib.md5(b"a file").hexdigest()),
+        record("metadata", b"", "WARC-Block-Digest: blake9:AAAA"),
+        record("response", b"20200101 a.example", "Content-Type: text/dns"),
+        record("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", http, "WARC-Refers-To: <urn:uuid:x>"),
+        record("response", b"HTTP/1.1 200 OK", http),
+    ]
+    path = tmp_path / "others.warc.gz"
+    path.write_bytes(b"".join(made))
+    got = warc.read(spark.createDataFrame([(str(path),)], "path string"), payloads=True).collect()
+    bodies = [b"software: x\r\n", b"", b"body", chunked.partition(b"\r\n\r\n")[2], b"cut", b"a file", b"", b"20200101 a.example", None, b""]
+    assert [r.payload if r.payload is None else bytes(r.payload) for r in got] == bodies
+    assert [r.record_type for r in got] == ["warcinfo", "request", "response", "response", "response", "resource", "metadata", "response", "revisit", "response"]
+    assert all(r.page_id is None and r.refers_to is None for r in got) and got[8].refers_to_id == "<urn:uuid:x>" and got[8].payload_bytes is None
+    assert got[2].payload_digest == b32(b"body") and got[3].payload_digest == b32(b"Wikipedia") and got[4].payload_digest == "sha256:" + hashlib.sha256(b"cut").hexdigest()
+    folded = list(warc.read_records(io.BytesIO(made[2])))[0]
+    assert folded.http == {"x-long": "one two"}
+    for bad in (record("response", b"HTTP/1.1 200 OK\r\n\r\nbody", http, sha(b"other")), record("resource", b"x", "WARC-Block-Digest: sha1:" + b32(b"y")), record("response", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nbody", http)):
+        with pytest.raises(ValueError):
+            list(warc.read_records(io.BytesIO(bad)))
+
+
 def test_urls(spark):
     made = ["https://WWW.Example.ORG/es/1?q=/x#y", "http://a.example.org/en/19", "http://a.example.org/en/2", "http://b.com/fr/x", "http://b.com/de/", "http://xcom/de/", "org/", None, "", "http://org", "http://org/", "//x.org/", "ftp://h?q", "http://h#f/de/", "a://b://c/d"]
     got = urls.judge(spark.createDataFrame(list(enumerate(made)), "page_id long, url string"), urls.train(spark.createDataFrame([], "url string, label int"))).collect()
@@ -426,11 +468,11 @@ def test_recall_is_not_vacuous(spark):
     assert ann.audit(nodes, asked, spark.createDataFrame([], "node long, links long"), 0.9, ann.Graph()) == 0
 
 
-@pytest.mark.parametrize(("order", "hot"), [(2, 2000), (3, 2000), (3, 40), (4, 2000)])
-def test_katz(spark, docs, nothing, monkeypatch, order, hot):
+@pytest.mark.parametrize(("order", "hot", "cut"), [(2, 2000, 1), (3, 2000, 2), (3, 40, 1), (4, 2000, 1), (4, 40, 2)])
+def test_katz(spark, docs, nothing, monkeypatch, order, hot, cut):
     monkeypatch.setattr(katz, "BUCKET_TOKENS", 500)
     monkeypatch.setattr(katz, "HOT", hot)
-    model = katz.train(docs, order)
+    model = katz.train(docs, order, least=cut)
     rows = model.scores().collect()
     assert len(rows) == docs.count() and model.stats.buckets > 3
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
@@ -449,7 +491,7 @@ def test_katz(spark, docs, nothing, monkeypatch, order, hot):
                 for k in grams:
                     if context(ws, i, k) is not None:
                         grams[k][*context(ws, i, k), w] += 1
-    least = {k: 1 if k < 3 else 2 for k in grams}
+    least = {k: 1 if k < 3 else cut for k in grams}
 
     def factors(counts):
         n = collections.Counter(min(c, 7) for c in counts)
