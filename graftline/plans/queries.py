@@ -338,6 +338,48 @@ def table_function_schemas(spark, sf_dir):
     return found.select(F.col("key").cast("long").alias("cust"), "docs", F.get_json_object("schema", "$.properties.status.type").alias("status"))
 
 
+def sampled_items(spark, sf_dir):
+    """Schemas of suppliers' lines, of which those at even steps are looked at; seventh lines of every tenth order are the only numbers that are no integers."""
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber"))).alias("lines"))
+    numbers = F.transform("lines", lambda x: F.when((x["l_linenumber"] == 7) & (x["l_orderkey"] % 10 == 0), F.lit("0.5")).otherwise(x["l_linenumber"].cast("string")))
+    json = F.concat(F.lit('{"lines":['), F.array_join(numbers, ","), F.lit("]}"))
+    return lines.select("l_suppkey", columns.schema_of(json, pretty=False).alias("schema"))
+
+
+def root_array_window(spark, sf_dir):
+    """Arrays are flattened item by item if one of their first fifty items is a container, and else left as they are."""
+    ahead = (F.col("c_custkey") % 100).cast("int")
+    json = F.concat(F.lit("["), F.repeat(F.lit("7,"), ahead), F.lit('{"a":{"b":'), F.col("c_custkey"), F.lit("}}]"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", columns.flatten(json).alias("flat"))
+
+
+def long_paths(spark, sf_dir):
+    """Paths are cut at 2047 bytes, and none within a character."""
+    outer = F.repeat(F.lit("é"), (F.col("c_custkey") % 15 + 1011).cast("int"))
+    json = F.concat(F.lit('{"'), outer, F.lit('":{"'), F.col("c_name"), F.lit('":1}}'))
+    found = rows.flatten_rows(_table(spark, sf_dir, "customer").select("c_custkey", json.alias("json")), "json", ["c_custkey"])
+    return found.select("c_custkey", "path", F.octet_length("path").cast("long").alias("bytes"))
+
+
+def nesting_limit(spark, sf_dir):
+    """A thousand containers in one another are read, and no more."""
+    depth = (F.col("c_custkey") % 12 + 994).cast("int")
+    json = F.concat(F.lit('{"a":'), F.repeat(F.lit("["), depth), F.col("c_custkey"), F.repeat(F.lit("]"), depth), F.lit("}"))
+    docs = _table(spark, sf_dir, "customer").select("c_custkey", json.alias("json"))
+    return docs.select("c_custkey", columns.is_valid("json").alias("valid"), columns.flatten("json", on_error="null", max_path_bytes=None).alias("flat"))
+
+
+def escaped_texts(spark, sf_dir):
+    """Names in escapes, then a pair of surrogates or half of one, which makes the text invalid."""
+    name = F.array_join(F.transform(F.split("c_name", ""), lambda c: F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(c)), 4, "0"))), "")
+    high, low = F.lit("\\ud83d"), F.concat(F.lit("\\u"), F.lower(F.hex(F.lit(0xDE00) + F.col("c_custkey") % 50)))
+    case = F.col("c_custkey") % 5
+    json = F.concat(F.lit('{"t":"'), name, F.lit("\\t\\/\\\""), F.when(case == 0, high).when(case == 1, low).otherwise(F.concat(high, low)), F.lit('"}'))
+    docs = _table(spark, sf_dir, "customer").select("c_custkey", json.alias("json"))
+    leaf = F.get(columns.leaf_rows("json", on_error="null"), F.lit(0))["value"]
+    return docs.select("c_custkey", columns.is_valid("json").alias("valid"), leaf.alias("value"))
+
+
 def path_statistics(spark, sf_dir):
     found = rows.flatten_rows(customer_docs(spark, sf_dir), "json", ["ckey"])
     return rows.path_statistics(found).select("path", "type", "n")
@@ -352,6 +394,7 @@ QUERIES = {
         members_of_orders, edited_orders, compared_orders, sql_functions, rows_lifted, path_statistics,
         sql_functions_on_bad_text, error_places, bad_documents, put_from_column, minified_documents, native_numbers, schema_of_arrays, schema_with_gaps, schema_types_by_group, schema_of_many_names,
         equal_documents, table_function, table_function_members, table_function_schemas, nested_columns, removed_on_rows, doubled_quantities, members_native,
+        sampled_items, root_array_window, long_paths, nesting_limit, escaped_texts,
     )
 }
 
@@ -469,6 +512,16 @@ ORACLES = {
     "schema_of_many_names": """with o as (select o_orderkey, row_number() over (order by o_orderkey) as i, count(*) over () as n from orders)
         select '' as path, 'object' as type, false as nullable, true as required union all select '/all', 'object', false, true union all select '/all/n', 'integer', false, true
         union all select '/o' || o_orderkey, 'object', n > 1, n = 1 from o union all select '/o' || o_orderkey || '/p', 'string', false, true from o where n = 1""",
+    "sampled_items": """with l as (select l_suppkey, l_orderkey, l_linenumber, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) - 1 as i, count(*) over (partition by l_suppkey) as n from lineitem),
+        f as (select l_suppkey, bool_or(l_linenumber = 7 and l_orderkey % 10 = 0) as mixed from l where i % greatest(1, n // 50) = 0 and i // greatest(1, n // 50) < 50 group by 1)
+        select l_suppkey, '{"$schema":"http://json-schema.org/draft-07/schema#","type":"object","properties":{"lines":{"type":"array","items":{"type":"' || case when mixed then 'number' else 'integer' end || '"}}},"required":["lines"]}' as schema from f""",
+    "root_array_window": """select c_custkey, case when c_custkey % 100 < 50 then '[' || repeat('{"":7},', (c_custkey % 100)::int) || '{"a.b":' || c_custkey || '}]'
+        else '[' || repeat('7,', (c_custkey % 100)::int) || '{"a":{"b":' || c_custkey || '}}]' end as flat from customer""",
+    "long_paths": """with m as (select c_custkey, c_name, least(1023, 1011 + c_custkey % 15)::int as m from customer), p as (select c_custkey, repeat('é', m) || '.' || left(c_name, 2046 - 2 * m) as path from m)
+        select c_custkey, path, octet_length(encode(path))::bigint as bytes from p""",
+    "nesting_limit": """with d as (select c_custkey, (994 + c_custkey % 12)::int as d from customer)
+        select c_custkey, d < 1000 as valid, case when d < 1000 then '{"a' || repeat('[0]', d) || '":' || c_custkey || '}' end as flat from d""",
+    "escaped_texts": """select c_custkey, c_custkey % 5 > 1 as valid, case when c_custkey % 5 > 1 then c_name || chr(9) || '/"' || chr((128512 + c_custkey % 50)::int) end as value from customer""",
     "schema_types_by_group": """select o_custkey as cust, case when bool_and(o_orderstatus = 'F') then '["null","null"]' when bool_or(o_orderstatus = 'F') then '["string","number","integer","boolean","object","array","null"]' else 'string' end as status,
         case when bool_or(o_orderstatus = 'F') then '["lines","okey","priority"]' else '["lines","okey","priority","status"]' end as required
         from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey) group by 1""",
