@@ -69,6 +69,43 @@ def test_op2(spark):
     assert {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in found.items()} == {i: (int(linked[k].sum()), int(least[k]), i == least[k]) for k, i in enumerate(ids)}
 
 
+def test_op2_with_links(spark, tmp_path):
+    """The given vectors with copies, near copies, chains and rows without a direction planted among them."""
+    rng = np.random.default_rng(7)
+    given = pq.read_table(f"{FOLDER}/embeddings.parquet").select(["vec_id", "embedding"]).to_pylist()
+    rows, new = [(r["vec_id"], r["embedding"]) for r in given], itertools.count(1 + max(r["vec_id"] for r in given))
+
+    def near(v, cosine):
+        """A vector with this cosine to ``v``."""
+        v = np.array(v) / np.linalg.norm(v)
+        w = rng.normal(size=len(v))
+        w -= (w @ v) * v
+        return cosine * v + math.sqrt(1 - cosine**2) * w / np.linalg.norm(w)
+
+    for k, (_, v) in enumerate(rows[:60]):
+        rows += [(next(new), (2.5 * np.array(near(v, c))).tolist()) for c in [(1.0,), (0.95, 0.93), (0.89,), (0.97,) * 5][k % 4]]
+    step = rows[70][1]
+    for _ in range(12):  # neighbours link, the ends don't
+        step = near(step, 0.94)
+        rows.append((next(new), step.tolist()))
+    rows += [(next(new), rows[80][1]) for _ in range(41)]
+    plain = [(next(new), x) for x in (None, [0.0] * len(step), [float("nan")] * len(step), [float("inf")] + [0.0] * (len(step) - 1))]
+    folder = tmp_path / "sf"
+    folder.mkdir()
+    spark.createDataFrame([(i, None if v is None else [float(x) for x in v]) for i, v in rows + plain], "vec_id long, embedding array<double>").toPandas().to_parquet(folder / "embeddings.parquet")
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in QUERIES["op2_embedding_dedup"](spark, str(folder)).collect()}
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    cosines = m @ m.T
+    assert not (np.abs(cosines - 0.9) < 1e-9).any()
+    linked, least = (cosines >= 0.9) & ~np.eye(len(ids), dtype=bool), ids
+    while not ((new_least := np.minimum(least, np.where(linked, least[None, :], ids.max()).min(axis=1))) == least).all():
+        least = new_least
+    want = {int(i): (int(linked[k].sum()), int(least[k]), bool(i == least[k])) for k, i in enumerate(ids)} | {i: (0, i, True) for i, _ in plain}
+    assert linked.sum() > 1500 and found.keys() == want.keys()
+    assert found == want
+
+
 def test_op3(spark, texts):
     source = {r["doc_id"]: r["source"] for r in table("documents")}
     size = {i: len(WORD.findall(t)) for i, t in texts.items()}
@@ -106,6 +143,41 @@ def test_op5(spark):
         assert r["verdict"] == best[0] if best else r["verdict"] in ("allow", "block")
 
 
+def test_op5_verdicts_of_the_model(spark):
+    """The same regression on n-grams that aren't hashed, by Newton's method on pairs of labelled urls."""
+
+    def grams(host, path):
+        return {mark + t[i : i + n] for mark, t in (("h", f"^{host}$"), ("p", f"^{path}$")) for n in (3, 4, 5) for i in range(max(1, len(t) - n + 1))}
+
+    found = answer(spark, "op5_url_filter", "page_id").values()
+    learnt = sorted({(r["host"], r["path"], r["verdict"] == "block") for r in found if r["rule"]})
+    open_ = [r for r in found if not r["rule"]]
+    names = {g: k for k, g in enumerate(sorted({g for h, p, _ in learnt for g in grams(h, p)}))}
+
+    def matrix(keys):
+        m = np.zeros((len(keys), len(names)))
+        for k, key in enumerate(keys):
+            m[k, [names[g] for g in grams(*key) if g in names]] = 1
+        return m
+
+    x, y = matrix([(h, p) for h, p, _ in learnt]), np.array([b for *_, b in learnt], dtype=float)
+    assert 0 < y.sum() < len(y)
+    n, kernel = len(y), x @ x.T
+    a, b = np.zeros(n), 0.0
+    for _ in range(200):  # the weights are x.T @ a
+        p = 1 / (1 + np.exp(-np.clip(kernel @ a + b, -30, 30)))
+        w = np.maximum(p * (1 - p), 1e-9)
+        left = np.block([[kernel + n * 1e-4 * np.diag(1 / w), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+        z = kernel @ a + b + (y - p) / w
+        solved = np.linalg.solve(left, np.append(z, 0.0))
+        step = 0.5
+        a, b = a + step * (solved[:-1] - a), b + step * (solved[-1] - b)
+    margin = matrix([(r["host"], r["path"]) for r in open_]) @ (x.T @ a) + b
+    clear = np.abs(margin) > 1
+    got = np.array([r["verdict"] == "block" for r in open_])
+    assert clear.sum() >= len(open_) / 2 and (got == (margin > 0))[clear].all()
+
+
 def test_op6(spark, texts):
     tokens = {i: [*t.encode().lower().split(), b""] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
