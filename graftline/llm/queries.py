@@ -64,7 +64,7 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.train(_table(spark, sf_dir, "documents"), order=2).scores().withColumnRenamed("doc", "doc_id")
+    return katz.train(_table(spark, sf_dir, "documents"), order=3).scores().withColumnRenamed("doc", "doc_id")
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

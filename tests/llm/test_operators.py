@@ -536,3 +536,13 @@ def test_katz(spark, docs, nothing, monkeypatch, order, hot, cut):
     for k in grams:
         assert sorted(r["count"] for r in model.table(k).collect()) == sorted(c for c in grams[k].values() if c >= least[k])
     assert katz.train(nothing, order).scores().count() == 0
+
+
+@pytest.mark.parametrize(("order", "hot", "cut"), [(2, 2000, 1), (3, 4000, 1), (4, 4000, 2)])
+def test_katz_spread(spark, docs, nothing, monkeypatch, order, hot, cut):
+    """Contexts of several words are spread over buckets as well."""
+    monkeypatch.setattr(katz, "HOT_TOKENS", 0)
+    levels = []
+    monkeypatch.setattr(katz, "Model", lambda *a, make=katz.Model: levels.append(len(a[4].hot)) or make(*a))
+    test_katz(spark, docs, nothing, monkeypatch, order, hot, cut)
+    assert levels[0] == order - 1

@@ -192,6 +192,17 @@ def test_op6(spark, texts):
     assert sum(found[i]["score"] - found[i]["base_score"] for i in found if held[i]) > 0
 
 
+def test_op6_order(spark, texts):
+    """Three words that are seen together count, not just two."""
+    from graftline.llm import katz
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    found = {i: r["score"] for i, r in answer(spark, "op6_katz_scores").items()}
+    three, two = ({r.doc: r.score for r in katz.train(docs, order).scores().collect()} for order in (3, 2))
+    assert found == pytest.approx(three)
+    assert sum(found.values()) > sum(two.values()) + 0.1 * abs(sum(two.values()))
+
+
 def test_op7(spark, texts):
     encoding, found = byte_pairs("byte_bpe_multi_50k.tiktoken"), answer(spark, "op7_byte_bpe")
     assert found.keys() == texts.keys()
