@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import file_system, give_back, shared_folder, slices, stored
 
-CHUNK_BYTES, BUCKET_TOKENS, GT, HOT, HOT_TOKENS = 8_000_000, 2_000_000, 5, 2000, 1_000_000
+CHUNK_BYTES, BUCKET_TOKENS, GT, HOT, HOT_TOKENS = 8_000_000, 2_000_000, 5, 2000, 4_000_000
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -370,7 +370,8 @@ class Tokens:
         return out
 
     def requests(self, order: int, only_hot: bool) -> Iterator[tuple[int, bytes]]:
-        """``(bucket, data)``: the words of windows, their counts, and windows of places of these."""
+        """``(bucket, data)``: the words of windows, the counts of those that are last
+        in one, and windows of places of these."""
         if only_hot:
             w, parts = self.hot_windows(order)
         else:
@@ -385,7 +386,8 @@ class Tokens:
             place[used] = np.arange(len(used))
             nearest, *others = [place[c] for c in columns]
             place[used] = 0
-            yield bucket, pack(np.diff(self.ids[used] + 1, prepend=0), self.counts[used], np.diff(nearest, prepend=0), *others, w.n[here], w.hot[here], below[here])
+            ends = np.flatnonzero(np.bincount(others[-1], minlength=len(used)))
+            yield bucket, pack(np.diff(self.ids[used] + 1, prepend=0), self.counts[used[ends]], np.diff(nearest, prepend=0), *others, w.n[here], w.hot[here], below[here])
 
 
 def _word_requests(buckets: int) -> Callable:
@@ -471,16 +473,17 @@ class Bucket:
         numbers = [np.cumsum(p[0].astype(np.int64)) for p in parts]
         self.words, place = np.unique(np.concatenate(numbers), return_inverse=True)  # one is added to each
         self.word_counts = np.zeros(len(self.words), dtype=np.int64)
-        self.word_counts[place] = np.concatenate([p[1] for p in parts])
         places = np.split(place.astype(np.int32), np.cumsum([len(x) for x in numbers])[:-1])
+        for here, p in zip(places, parts, strict=True):
+            self.word_counts[here[np.flatnonzero(np.bincount(p[1 + order], minlength=len(here)))]] = p[1]
         columns = [np.concatenate([here[np.cumsum(p[2], dtype=np.int64) if k == 0 else p[2 + k]] for here, p in zip(places, parts, strict=True)]) for k in range(order)]
-        n, hot, below = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (-3, -2, -1))
+        n, hot, below = (np.concatenate([p[k] for p in parts]) for k in (-3, -2, -1))
         cuts = np.cumsum([len(p[-1]) for p in parts])[:-1]
         del parts, numbers, places, place
         _, first, inverse = _unique(_joined(columns, len(self.words)))
         self.columns = [c[first] for c in columns]
         self.n = np.bincount(inverse, weights=n, minlength=len(first)).astype(np.int64)
-        self.hot, self.below = hot[first], below[first]
+        self.hot, self.below = hot[first].astype(np.int64), below[first].astype(np.int64)
         self.of_part = np.split(inverse, cuts)
 
     def exists(self, order: int) -> np.ndarray:
