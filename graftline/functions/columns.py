@@ -28,7 +28,7 @@ def _mapped(run: Callable, kind: str, on_error: str, message: str = "Invalid JSO
         if text is None:
             return None
         try:
-            return run(jsontext.parse(text, strict), *others)
+            return run(jsontext.parse(text, strict, placed=on_error == "fail"), *others)
         except jsontext.Invalid as e:
             if on_error == "fail":
                 raise ValueError(f"{message}: {e}") from None

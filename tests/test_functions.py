@@ -1,12 +1,13 @@
 """Single documents: the contract's goldens, without Spark."""
 
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graftline.functions import regex, values
+from graftline.functions import jsontext, regex, values
 from graftline.functions.jsontext import Invalid, dump, number_text, parse
 
 
@@ -136,3 +137,49 @@ def test_properties(value):
 def test_number_text(x):
     y = float(number_text(x))
     assert abs(x - y) <= max(abs(x), abs(y)) * 2.3e-16
+
+
+def test_texts_of_many_containers_go_to_the_standard_decoder(monkeypatch):
+    def no(*_):
+        raise AssertionError("the slow parser")
+
+    def error(text, **how):
+        with pytest.raises(Invalid) as e:
+            parse(text, **how)
+        return e.value.at
+
+    deep, wrong = ["[1," * 1500, '{"a":[' * 501 + "1", ' [{"a]":' + "[" * 999, "[" * 10**6], ["[" * 900 + "x" + "[" * 200, '["' + "[" * 1100, "[1}" + "[" * 1100, "[}" * 600, '{"a"' * 1100]
+    want = {}
+    for text in deep + wrong:
+        with pytest.raises(Invalid) as e:
+            jsontext._value(text, len(text) - len(text.lstrip()), 0)
+        want[text] = e.value.at
+    assert {t: error(t) for t in deep + wrong} == want and all(error(t, placed=False) >= 0 for t in deep + wrong)
+    assert parse('"a"' + "[" * 1100) == "a" and parse("[]" + "[" * 1100) == []
+    monkeypatch.setattr(jsontext, "_value", no)
+    assert {t: error(t) for t in deep} == {t: want[t] for t in deep}
+    many = '[{"a":["]["]},"\\"["]'
+    assert len(parse("[" + ",".join([many] * 2000) + "]")) == 2000 and parse("[" * 1000 + "]" * 1000)
+
+
+@pytest.mark.parametrize("most", [None, 3, 5, 8, 13, 2047])
+def test_paths_of_chains_are_made_step_by_step(most):
+    def below(value, path):
+        if not isinstance(value, list) or (not value and isinstance(value, jsontext.Members)):
+            yield path, value
+        else:
+            for p, v in values.children(value, path, most):
+                yield from below(v, p)
+
+    def made(depth):
+        if not depth:
+            return draw.choice(["1", "{}", "[]", '"x"'])
+        names = draw.choices(["a", "", "é", "日本", "b.c"], k=draw.choice([1, 1, 1, 2]))
+        return "[" + ",".join(made(depth - 1) for _ in names) + "]" if draw.random() < 0.5 else "{" + ",".join(f'"{n}":{made(depth - 1)}' for n in names) + "}"
+
+    draw = random.Random(3)
+    for _ in range(300):
+        doc = parse(made(draw.randrange(1, 9)))
+        assert list(values.leaves(doc, True, most)) == list(below(doc, ""))
+    chain = parse('{"a":' + "[" * 990 + '{"é":1}' + "]" * 990 + "}")
+    assert list(values.leaves(chain, True, most)) == list(below(chain, ""))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graftline import cli
 from graftline.functions import columns, sql
 from graftline.operators import rows
+from graftline.plans import queries
 from graftline.sources import files
 from graftline.streaming import streams
 
@@ -202,3 +203,8 @@ def test_cli(tmp_path, capsys, monkeypatch):
 def test_module():
     done = subprocess.run([sys.executable, "-m", "graftline", "-e"], input='["",1]', capture_output=True, text=True)
     assert done.returncode == 0 and done.stdout == "[1]\n"
+
+
+def test_deep_documents_of_one_file_are_dealt_to_many_tasks(spark):
+    assert spark.read.parquet("/root/testdata/sf0.001/customer.parquet").rdd.getNumPartitions() == 1
+    assert queries.nesting_limit(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
