@@ -275,7 +275,12 @@ def compare(a, b, case_sensitive: bool = True) -> Column:
         except jsontext.Invalid:
             return False
 
-    return F.arrow_udf(lambda x, y: pa.array([same(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_()), "boolean")(a, b)
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        if len(x) in (x.null_count, y.null_count):
+            return pa.nulls(len(x), pa.bool_())
+        return pa.array([same(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
+
+    return F.arrow_udf(run, "boolean")(a, b)
 
 
 def minify(col) -> Column:
